@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sheafwork.llm import neardup
+from sheafwork.llm import neardup, neighbours
 
-QUERIES = {"p2_found": neardup.found, "p2_groups": neardup.groups}
+QUERIES = {"p2_found": neardup.found, "p2_groups": neardup.groups, "p3_found": neighbours.found, "p3_nearest": neighbours.nearest}
 
 SQL: dict[str, str] = {}
