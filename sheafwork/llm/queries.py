@@ -2,8 +2,38 @@
 
 from __future__ import annotations
 
-from sheafwork.llm import neardup, neighbours
+from sheafwork.llm import mixing, neardup, neighbours, packing, sentences, splitting
 
-QUERIES = {"p2_found": neardup.found, "p2_groups": neardup.groups, "p3_found": neighbours.found, "p3_nearest": neighbours.nearest}
+QUERIES = {
+    "p2_found": neardup.found,
+    "p2_groups": neardup.groups,
+    "p3_found": neighbours.found,
+    "p3_nearest": neighbours.nearest,
+    "p5_found": splitting.found,
+    "p5_split": splitting.split,
+    "p6_found": packing.found,
+    "p6_fills": packing.fills,
+    "p7_found": mixing.found,
+    "p7_report": mixing.report,
+    "p8_found": sentences.found,
+}
 
 SQL: dict[str, str] = {}
+
+#: Tokens as the splitting counts them, in DuckDB's regular expressions.
+_TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}]{1,8}|[^\p{L}\p{N}\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'))"
+
+SQL["p5_found"] = f"""
+SELECT DISTINCT draft_id FROM chunk_draft JOIN collection_profile USING (collection) WHERE {_TOKENS} > max_tokens
+"""
+
+SQL["p6_found"] = """
+SELECT DISTINCT capacity_tokens, doc_id FROM documents, pack_spec WHERE strlen(text) > capacity_tokens
+"""
+
+SQL["p7_found"] = """
+WITH t AS (SELECT mix_id, lower(trim(source)) AS src, min(source) AS source, sum(greatest(coalesce(weight, 0), 0)) AS weight, max(coalesce(max_repeats, 1)) AS max_repeats FROM mix_target GROUP BY ALL),
+d AS (SELECT lower(trim(source)) AS src, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS size, count(*) AS n FROM documents GROUP BY ALL),
+p AS (SELECT mix_id, source, weight, max_repeats, coalesce(size, 0) AS size, coalesce(n, 0) AS n, sum(weight) OVER (PARTITION BY mix_id) AS all_weight, sum(coalesce(size, 0)) OVER (PARTITION BY mix_id) AS total FROM t LEFT JOIN d USING (src))
+SELECT mix_id, source FROM p WHERE n = 0 OR max_repeats * size < weight / all_weight * total
+"""
