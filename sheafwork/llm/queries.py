@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sheafwork.llm import mixing, neardup, neighbours, packing, sentences, splitting
+from sheafwork.llm import markup, mixing, neardup, neighbours, packing, sentences, splitting
 
 QUERIES = {
     "p2_found": neardup.found,
     "p2_groups": neardup.groups,
     "p3_found": neighbours.found,
     "p3_nearest": neighbours.nearest,
+    "p4_found": markup.found,
+    "p4_clean": markup.clean,
     "p5_found": splitting.found,
     "p5_split": splitting.split,
     "p6_found": packing.found,
