@@ -20,6 +20,7 @@ from html.entities import html5
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names of tags by what they mark.
 CODE_TAGS = "pre code source syntaxhighlight tt kbd samp nowiki"
@@ -494,26 +495,26 @@ def deduced_names(df: DataFrame, by: list[str], key: str, text: str) -> frozense
     return frozenset(r[0] for r in got)
 
 
-def clean_markup(df: DataFrame, key: str, text: str, by: list[str] | None = None) -> DataFrame:
+def clean_markup(df: DataFrame, key: str, text: str, by: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """``df``'s rows with their ``clean_text`` and ``elements``.
 
     ``by``: columns that tell the source, whose records are the pages that templates are
     deduced from (none: no deduction). A null text gives nulls; an empty or blank one itself and no
-    elements. All columns are kept; those named ``clean_text`` and ``elements`` are replaced. Equal
+    elements. All columns are kept, or those of ``keep``; ones named ``clean_text`` and ``elements`` are replaced. Equal
     rows stay as many.
     """
     names = deduced_names(df, by, key, text) if by else frozenset()
-    keep = [c for c in df.columns if c not in ("clean_text", "elements")]
-    n = len(keep)
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("clean_text", "elements")]
+    at = keep.index(text) if text in keep else len(keep)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(None, None) if t is None else parse(t, names) for t in b.column(n).to_pylist()]
-            cols = [*(b.column(i) for i in range(n)), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string()))]
+            got = [(None, None) if t is None else parse(t, names) for t in b.column(at).to_pylist()]
+            cols = [*(b.column(i) for i in range(len(keep))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "clean_text", "elements"])
 
-    schema = df.select(*keep).schema.add("clean_text", "string").add("elements", "array<string>")
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(of, schema)
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("clean_text", T.StringType()), T.StructField("elements", T.ArrayType(T.StringType()))])
+    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(of, schema)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,7 +526,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = records(spark, sf_dir).withColumn("page", F.struct("origin", "record_id"))
-    return clean_markup(df, "page", "text", ["collection", "source_id"]).select("origin", "record_id", "clean_text", "elements")
+    return clean_markup(df, "page", "text", ["collection", "source_id"], ["origin", "record_id"])
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
