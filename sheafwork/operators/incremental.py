@@ -58,11 +58,11 @@ def to_process(items: DataFrame, state: DataFrame, recipe: DataFrame) -> DataFra
     the current ``recipe_hash`` of its collection and media type, and a final status. Null
     and all-zero digests equal nothing; a media type without a recipe always counts as
     changed. Equal rows count once. Any of the inputs may be empty. Columns beyond the known
-    ones are carried along; names beginning with ``_`` are kept for the operator.
+    ones are carried along, except ``_type``, ``_recipe`` and ``_r``.
     """
+    items = items.drop("_type", "_recipe", "_r")
     cur = current_delivery(items).withColumn("_type", media_type(F.col("media_type"))).alias("i")
-    need = [c for c in ("content_hash", "recipe_hash", "status", "updated_utc") if c in state.columns]
-    st = state_in_force(state.select(*KEY, *need)).alias("s")
+    st = state_in_force(state.select(*KEY, "content_hash", "recipe_hash", "status", "updated_utc")).alias("s")
     rc = current_recipes(recipe).alias("r")
     same = [F.col(f"i.{c}").eqNullSafe(F.col(f"s.{c}")) for c in KEY]
     j = cur.join(rc, (F.col("i.collection") == F.col("r.collection")) & (F.col("i._type") == F.col("r._type")), "left")

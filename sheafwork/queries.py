@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from sheafwork.operators import incremental
+from sheafwork.plans import search_queries, state_queries, text_queries
 
-QUERIES = {"p1_found": incremental.found}
+QUERIES = {"p1_found": incremental.found, **search_queries.QUERIES, **state_queries.QUERIES, **text_queries.QUERIES}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**search_queries.SQL, **state_queries.SQL, **text_queries.SQL}
 
 SQL["p1_found"] = """
 WITH cur AS (
