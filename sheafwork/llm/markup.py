@@ -339,7 +339,7 @@ class Record:
         self.w = "\n".join(out)
 
     def headings(self) -> None:
-        self.w = TEX_HEADING.sub(lambda m: self._heading(min(6, HEADING_COMMANDS.split("|").index(m.group(1)) + 1), m.group(2)), self.w)
+        self.w = TEX_HEADING.sub(lambda m: self._heading(max(1, HEADING_COMMANDS.split("|").index(m.group(1))), m.group(2)), self.w)
         if "=" in self.w:
             self.w = WIKI_HEADING.sub(lambda m: self._heading(len(m.group(1)), m.group(2)), self.w)
         at, out, w = 0, [], self.w

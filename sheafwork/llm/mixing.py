@@ -88,9 +88,9 @@ class Mix:
         s = per.where(n > 0).select("mix_id", "cum", n.alias("n")).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOTS))))
         s = s.repartition("mix_id", "bucket").withColumn("slot", F.explode(F.sequence(F.col("bucket") * SLOTS, F.least(F.col("n") - 1, F.col("bucket") * SLOTS + SLOTS - 1))))
         u = F.pmod((F.pmod("slot", F.lit(1 << 32)) + 1) * F.lit(GOLDEN), F.lit(1 << 32)) / F.lit(float(1 << 32))
-        s = s.withColumn("u", u).withColumn("src", F.expr("element_at(filter(cum, c -> c.high > u), 1).src"))
+        s = s.withColumn("u", u).withColumn("src", F.expr("try_element_at(filter(cum, c -> c.high > u), 1).src"))
         # rounding may leave the last cumulative share under 1
-        s = s.withColumn("src", F.coalesce("src", F.expr("element_at(filter(cum, c -> c.high = element_at(cum, -1).high), 1).src")))
+        s = s.withColumn("src", F.coalesce("src", F.expr("try_element_at(filter(cum, c -> c.high = try_element_at(cum, -1).high), 1).src")))
         return running_total(s.select("mix_id", "bucket", "slot", "src"), ["mix_id", "src"], "bucket", ["slot"], F.lit(1).cast("long"), "rank").select("mix_id", "slot", "src", "rank")
 
     def blocks(self) -> DataFrame:

@@ -173,7 +173,9 @@ class Forest:
             ix = Index(n, p, centre, planes, np.empty((self.trees, 0), np.int64))
             if len(x):
                 h = np.sort(strings(x, ids, ix), axis=0)
-                ix.cuts = h[(np.arange(1, parts) * len(h)) // parts].T.copy()
+                # where the sample is all there is, a part holds several stretches at least
+                most = parts if len(got) == sample else max(1, min(parts, len(x) // (4 * self.reach)))
+                ix.cuts = h[(np.arange(1, most) * len(h)) // most].T.copy()
             out[name] = ix
         return out
 

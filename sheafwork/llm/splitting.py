@@ -195,7 +195,7 @@ def split_oversized(df: DataFrame, limits: DataFrame, text: str = "text", by: st
     lim = limits.groupBy(F.col(by).alias("_by")).agg(F.min("max_tokens").alias("_max"), F.min("overlap_tokens").alias("_over"))
     d = df.select(*keep, F.col(text).alias("_text"), F.coalesce(token_count(F.col(text)), F.lit(0)).alias("_n"))
     d = d.join(small_enough(lim), F.col(by) == F.col("_by"), "left").drop("_by")
-    over = F.coalesce(F.col("_n") > F.greatest(F.col("_max"), F.lit(1)), F.lit(False))
+    over = F.col("_max").isNotNull() & (F.col("_n") > F.greatest(F.col("_max"), F.lit(1)))
     whole = d.where(~over).select(*keep, F.col("_text").alias(text), F.col("_n").alias("token_count"), F.lit(0).alias("piece"), F.lit(1).alias("pieces"), F.lit(0).alias("piece_start"), F.coalesce(F.length("_text"), F.lit(0)).alias("piece_end"), F.lit(0).alias("piece_overlap"))
     long = d.where(over)
     n_keep = len(keep)
