@@ -9,6 +9,8 @@ from sheafwork.functions.text import token_estimate
 
 #: Limits of a history.
 MOST_TURNS, MOST_TOKENS, PROTECTED = 8, 1024, 2
+#: Context lengths to try, bytes of workspace and reserve, and the share of memory that may be used.
+LADDER, WORKSPACE, RESERVE, SHARE = (4096, 3072, 2048, 1536, 1024), 192 << 20, 192 << 20, 0.60
 
 
 def reduce_history(messages: DataFrame, by: str, order: str, most_turns: int = MOST_TURNS, most_tokens: int = MOST_TOKENS, protected: int = PROTECTED, pinned: Column | None = None) -> DataFrame:
@@ -60,7 +62,7 @@ def stopped(text: Column, stops: list[str]) -> Column:
     return F.when(at.isNull(), text).otherwise(F.substring(text, F.lit(1), at - 1))
 
 
-def memory_ladder(shapes: DataFrame, ladder: list[int], workspace: int, reserve: int, share: float = 1.0) -> DataFrame:
+def memory_ladder(shapes: DataFrame, ladder: list[int] | tuple[int, ...] = LADDER, workspace: int = WORKSPACE, reserve: int = RESERVE, share: float = SHARE) -> DataFrame:
     """(``name``, ``context``, ``required``): the first context length that fits the memory there is; 0 if none does.
 
     ``shapes``: ``name``, ``weights``, ``layers``, ``heads``, ``head_size``, ``element_bytes``, ``available``. A token's cache takes

@@ -11,11 +11,11 @@ from sheafwork.functions.text import token_estimate
 #: Words too common to search for.
 STOP_WORDS = "the and for are but not you your was were with that this these those from into how what when where which who why can does did has have had its it's our out about".split()
 #: Limits and texts of the context block.
-MOST_KEYWORDS, MOST_CHARS, MOST_TOKENS, MOST_TITLE = 8, 1200, 2048, 200
-SUFFIX, HEADING, INDENT, DIVIDER = "…(truncated)", "## Retrieved context", "    ", "---"
-CONTEXT_PROMPT = "Use the retrieved context below to answer."
-CITATION_PROMPT = "Cite the sources you use as [n]."
-NO_RESULTS = "I found nothing in the indexed documents that answers that."
+MOST_KEYWORDS, MOST_CHARS, MOST_TOKENS, MOST_TITLE = 8, 1200, 1024, 200
+SUFFIX, HEADING, INDENT, DIVIDER = "…(truncated)", "## Additional context", "    ", "---"
+CONTEXT_PROMPT = "Answer using ONLY the numbered sources below. If they do not contain the answer, say you could not find it. Be concise."
+CITATION_PROMPT = "Cite every claim with the bracketed number of its source, like [1]. Do not invent source numbers."
+NO_RESULTS = "I could not find anything in the available sources that answers that."
 
 
 def keywords(text: Column, most: int = MOST_KEYWORDS) -> Column:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from sheafwork.operators import incremental
-from sheafwork.plans import search_queries, state_queries, text_queries
+from sheafwork.plans import pipeline_queries, search_queries, state_queries, text_queries
 
-QUERIES = {"p1_found": incremental.found, **search_queries.QUERIES, **state_queries.QUERIES, **text_queries.QUERIES}
+QUERIES = {"p1_found": incremental.found, **search_queries.QUERIES, **state_queries.QUERIES, **text_queries.QUERIES, **pipeline_queries.QUERIES}
 
-SQL: dict[str, str] = {**search_queries.SQL, **state_queries.SQL, **text_queries.SQL}
+SQL: dict[str, str] = {**search_queries.SQL, **state_queries.SQL, **text_queries.SQL, **pipeline_queries.SQL}
 
 SQL["p1_found"] = """
 WITH cur AS (

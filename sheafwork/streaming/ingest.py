@@ -40,6 +40,7 @@ def append_stream(rows: DataFrame, table: VersionedTable, checkpoint: str, name:
 
 def windowed_counts(events: DataFrame, time: str, by: list[str], width: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Counts by time window and ``by``; rows later than ``late`` behind the newest are left out."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 

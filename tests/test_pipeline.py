@@ -220,7 +220,7 @@ def test_context(spark):
     assert r["included"] == 2 and r["context"] == (
         f"{rag.HEADING}\n{rag.CONTEXT_PROMPT}\n\n[1]\n    Source: u\n    ---\n    first\n\n[2] Title: T 2\n    ---\n    second\n    line\n\n{rag.CITATION_PROMPT}"
     )
-    assert rag.context_blocks(s, "q", 35).first()["included"] == 1
+    assert rag.context_blocks(s, "q", 75).first()["included"] == 1
     none = rag.context_blocks(s, "q", 5)
     assert none.first()["context"] is None
     with pytest.raises(Exception, match="7204"):
@@ -292,7 +292,7 @@ def test_prompt_and_stops(spark):
 
 def test_memory(spark):
     s = spark.createDataFrame([("a", 100, 1, 1, 1, 1, 5000), ("b", 100, 1, 1, 1, 1, 50)], "name string, weights long, layers int, heads int, head_size int, element_bytes int, available long")
-    got = {r["name"]: (r["context"], r["required"]) for r in chat.memory_ladder(s, [512, 1024, 2048], 10, 20).collect()}
+    got = {r["name"]: (r["context"], r["required"]) for r in chat.memory_ladder(s, [512, 1024, 2048], 10, 20, 1.0).collect()}
     assert got == {"a": (2048, 100 + 2 * 2048 + 30), "b": (0, 100 + 2 * 512 + 30)}
 
 
