@@ -7,7 +7,7 @@ merged, since tokens need not add up over what stands between them.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,6 +24,7 @@ from sheafwork.sources.extract import Block
 Counter = Callable[[str], int]
 
 GRAPHEME = regex.compile(r"\X")
+SIMPLE = regex.compile(r"[\n -~\u00a0-\u02ff\u0370-\u0482\u048a-\u058f\u2010-\u2027\u3001-\u3029\u3041-\u3096\u30a1-\u30ff\u4e00-\u9fff\uff01-\uff9d]*+")
 UNIT = regex.compile(r"[\p{L}\p{N}]{1,8}|[^\p{L}\p{N}\s]")
 #: Signs that end a sentence before white space, and abbreviations whose point doesn't.
 SENTENCE_END = regex.compile(r"[.!?…。！？](?=\s|$)")
@@ -38,6 +39,36 @@ def units(text: str) -> int:
     return sum(1 for _ in UNIT.finditer(text))
 
 
+ITEM = regex.compile(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]")
+
+
+def unit_spans(text: str) -> Callable[[int, int], int]:
+    """``units`` of any span of one text, each in logarithmic time: runs and signs are found once."""
+    starts, ends, before = [], [], [0]
+    for m in ITEM.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
+        before.append(before[-1] + (m.end() - m.start() + 7) // 8)
+
+    def count(a: int, b: int) -> int:
+        i, j = bisect_right(ends, a), bisect_left(starts, b) - 1
+        if i > j:
+            return 0
+        part = lambda k: (min(ends[k], b) - max(starts[k], a) + 7) // 8
+        return part(i) if i == j else part(i) + before[j] - before[i + 1] + part(j)
+
+    return count
+
+
+units.spans = unit_spans  # type: ignore[attr-defined]
+
+
+def spans_of(text: str, count: Counter) -> Callable[[int, int], int]:
+    """A counter of spans of one text; a counter may bring its own as ``spans``."""
+    own = getattr(count, "spans", None)
+    return own(text) if own else lambda a, b: count(text[a:b])
+
+
 @dataclass(frozen=True)
 class Options:
     """A resolved budget. ``overflow``: split, truncate or throw."""
@@ -110,18 +141,20 @@ def windows(text: str, a: int, b: int, o: Options, count: Counter) -> Iterator[t
     a, b = _trim(text, a, b)
     if a >= b:
         return
-    edges = [a, *(m.end() for m in GRAPHEME.finditer(text, a, b))]
+    simple = SIMPLE.fullmatch(text, a, b)  # every character is a grapheme
+    edges = range(a, b + 1) if simple else [a, *(m.end() for m in GRAPHEME.finditer(text, a, b))]
+    n = spans_of(text, count)
     at = 0
     while at < len(edges) - 1:
         start = edges[at]
         step, hi = 64, at + 1  # gallop, then halve
-        while hi < len(edges) - 1 and count(text[start : edges[min(hi + step, len(edges) - 1)]]) <= o.max_tokens:
+        while hi < len(edges) - 1 and n(start, edges[min(hi + step, len(edges) - 1)]) <= o.max_tokens:
             hi = min(hi + step, len(edges) - 1)
             step *= 2
         lo, top = hi, min(hi + step, len(edges) - 1)
         while lo < top:
             mid = (lo + top + 1) // 2
-            if count(text[start : edges[mid]]) <= o.max_tokens:
+            if n(start, edges[mid]) <= o.max_tokens:
                 lo = mid
             else:
                 top = mid - 1
@@ -132,7 +165,7 @@ def windows(text: str, a: int, b: int, o: Options, count: Counter) -> Iterator[t
             if better is not None and better > start and not text[start:better].isspace():
                 stop = edges[bisect_left(edges, better)]
         if not text[start:stop].isspace():
-            yield start, stop, count(text[start:stop])
+            yield start, stop, n(start, stop)
         if stop >= b:
             return
         k = bisect_left(edges, stop)
@@ -141,7 +174,7 @@ def windows(text: str, a: int, b: int, o: Options, count: Counter) -> Iterator[t
             lo, hi = at, k
             while lo < hi:
                 mid = (lo + hi) // 2
-                if count(text[edges[mid] : stop]) <= o.overlap_tokens:
+                if n(edges[mid], stop) <= o.overlap_tokens:
                     hi = mid
                 else:
                     lo = mid + 1
@@ -200,14 +233,15 @@ def _oversize(text: str, blocks: list[Block], path: tuple[str, ...], o: Options,
 def plain(text: str, blocks: list[Block], o: Options, count: Counter = units) -> list[Chunk]:
     """Blocks in order, merged while their span keeps the budget."""
     out: list[Chunk] = []
+    n = spans_of(text, count)
     open_: list[Block] = []
     for x in [*(x for x in blocks if text[x.start : x.end].strip()), None]:
-        if open_ and (x is None or count(text[open_[0].start : x.end]) > o.max_tokens):
+        if open_ and (x is None or n(open_[0].start, x.end) > o.max_tokens):
             a, b = open_[0].start, open_[-1].end
-            out.append(_chunk(len(out), text, a, b, count(text[a:b]), (), o, count, open_[0].kind, open_[0].page))
+            out.append(_chunk(len(out), text, a, b, n(a, b), (), o, count, open_[0].kind, open_[0].page))
             open_ = []
         if x is not None:
-            if count(text[x.start : x.end]) > o.max_tokens:
+            if n(x.start, x.end) > o.max_tokens:
                 out += _oversize(text, [x], (), o, count, len(out))
             else:
                 open_.append(x)

@@ -90,6 +90,13 @@ def test_windows_cover_and_keep_the_budget(text, most):
     assert [a for a, _, _ in spans] == sorted({a for a, _, _ in spans})
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abc d.é\n中", max_size=80), st.integers(0, 80), st.integers(0, 80))
+def test_counting_spans(text, a, b):
+    a, b = sorted((min(a, len(text)), min(b, len(text))))
+    assert C.unit_spans(text)(a, b) == C.units(text[a:b])
+
+
 def test_long_token_and_overlap():
     spans = list(C.windows("A" * 500, 0, 500, O, C.units))
     assert all(n <= 20 for _, _, n in spans) and spans[-1][1] == 500 and spans[1][0] < spans[0][1]
