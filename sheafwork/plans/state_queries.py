@@ -35,9 +35,11 @@ _SAME = "s.collection IS NOT DISTINCT FROM c.collection AND s.source_id IS NOT D
 
 @query(f"WITH {_CUR} SELECT {_DOC}, item_seq, size_bytes FROM cur")
 def upsert_last_wins(spark, d):
-    """The current delivery of every document, as an upsert of all deliveries into those of the first hundred."""
+    """The current delivery of every document: all deliveries, in their order, put in over what the first half has left."""
     i = table(spark, d, "source_item").select(*state.DOC, "item_seq", "size_bytes", "seen_utc")
-    return state.upsert(i.where("item_seq <= 0"), i, state.DOC, ["seen_utc", "item_seq"]).drop("seen_utc")
+    order = ["seen_utc", "item_seq"]
+    stored = state.last_wins(i.where("item_seq % 2 = 0"), state.DOC, order)
+    return state.upsert(stored, i, state.DOC, order).drop("seen_utc")
 
 
 @query("SELECT collection, count(*) AS n FROM ingested_chunk WHERE source_id NOT IN ('garden-desk', 'hop-loft') AND NOT (collection = 'kb' AND source_id = 'store-faq') GROUP BY collection")
@@ -187,5 +189,6 @@ def table_counts(spark, d):
 
 @query("SELECT c.collection, count(*) AS chunks FROM ingested_chunk c WHERE NOT EXISTS (SELECT 1 FROM ingest_document s WHERE s.collection = c.collection AND s.source_id = c.source_id AND s.document_id = c.document_id) GROUP BY 1")
 def orphan_chunks(spark, d):
+    """Chunks of documents that the state doesn't know."""
     c = table(spark, d, "ingested_chunk").select(*state.DOC)
-    return state.delete(c.withColumn("_x", F.lit(1)).join(table(spark, d, "ingest_document").select(*state.DOC).distinct(), state.DOC, "left_anti"), c.limit(0), state.DOC).groupBy("collection").agg(F.count("*").alias("chunks"))
+    return c.join(table(spark, d, "ingest_document").select(*state.DOC).distinct(), state.DOC, "left_anti").groupBy("collection").agg(F.count("*").alias("chunks"))
