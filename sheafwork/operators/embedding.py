@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,35 +22,20 @@ BUCKETS = (64, 128, 256, 512)
 LONGEST_WORD = 100
 
 
-def _is_sign(c: str) -> bool:
-    return unicodedata.category(c)[0] == "P" or (c.isascii() and not c.isalnum() and not c.isspace() and c.isprintable())
-
-
-def _wide(c: str) -> bool:
-    return "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or "\U00020000" <= c <= "\U0002fa1f"
+#: Signs and Han characters stand alone; other characters but white space run together.
+_ALONE = r"\p{P}$+<=>^`|~\u3400-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f"
+_WORD = regex.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
+_DROPPED = regex.compile(r"[\ufffd\p{Cf}\p{Cs}]|(?!\s)\p{Cc}")
+_MARKS = regex.compile(r"\p{Mn}+")
 
 
 def words(text: str, lower: bool = True) -> list[str]:
     """What WordPiece works on: cleaned, lower case without accents, signs and Han characters apart."""
     if lower:
-        text = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
-    out: list[str] = []
-    now: list[str] = []
-    for c in text:
-        if c.isspace():
-            if now:
-                out.append("".join(now))
-                now = []
-        elif _is_sign(c) or _wide(c):
-            if now:
-                out.append("".join(now))
-                now = []
-            out.append(c)
-        elif c != "�" and unicodedata.category(c) not in ("Cc", "Cf", "Cs"):
-            now.append(c)
-    if now:
-        out.append("".join(now))
-    return out
+        text = text.lower()
+        if not text.isascii():
+            text = _MARKS.sub("", unicodedata.normalize("NFD", text))
+    return _WORD.findall(_DROPPED.sub("", text))
 
 
 class WordPiece:

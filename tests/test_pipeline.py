@@ -300,6 +300,7 @@ def test_wordpiece():
     wp = embedding.WordPiece(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "roof", "##s", "leak", "##ing", "!", "中"])
     ids = lambda t: [list(wp.ids)[i] for i in wp.encode(t)[0]]
     assert ids("Roofs leaking!") == ["[CLS]", "roof", "##s", "leak", "##ing", "!", "[SEP]"] and ids("xyz 中") == ["[CLS]", "[UNK]", "中", "[SEP]"] and ids("") == ["[CLS]", "[SEP]"]
+    assert embedding.words("Ünïcode, 中文 a\u200bb\x01c") == ["unicode", ",", "中", "文", "abc"] and len(embedding.words("한국")) == 1
     assert wp.encode("roof roof roof", 4) == ([2, 4, 4, 3], True) and wp.count("roofs") == 2
     batch, mask, cut = wp.batch(["roof", "roof " * 70], 80)
     assert batch.shape == (2, 128) and mask.sum() == 3 + 72 and cut == [False, False]
