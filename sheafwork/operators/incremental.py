@@ -1,10 +1,11 @@
 """Processing only new, changed or unfinished records.
 
-A run compares two versions of the source by their manifests, so that only files that
-were added or removed since, and rows that a deletion vector hides or shows, are read.
-It reduces the deltas to the current delivery of each document, leaves out those whose
-state in force is final for the same content and recipe, and commits its new state
-together with the source version it has processed. A run that dies before the commit
+The first run reads the record deltas from the empty manifest. A later one takes the rows
+live in the new version: a removed file or a deletion vector can put an older delivery in
+force again, and a document may be unfinished though no delta touches it. A run reduces
+the rows to the current delivery of each document, leaves out those whose state in force
+is final for the same content and recipe, and commits its new state together with the
+source version it has processed. A run that dies before the commit
 leaves the state as it was and is simply repeated; one that has committed isn't.
 """
 
@@ -76,15 +77,16 @@ def to_process(items: DataFrame, state: DataFrame, recipe: DataFrame) -> DataFra
 
 
 def pending(spark: SparkSession, old: Manifest, new: Manifest, schema, state: DataFrame, recipe: DataFrame, known: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
-    """``to_process`` over the record deltas between two source versions.
+    """``to_process`` over what is delivered at the newer of two source versions.
 
-    ``known``: the current deliveries the state was built from (none before the first run).
-    Those among them that are unfinished, or whose recipe has changed, come again though
-    nothing was delivered anew.
+    ``known``: the rows live in ``new``, i.e. those of ``old`` with all deltas, inserts and
+    deletes, applied (none before the first run, when the deltas are all there is). Documents
+    among them that are unfinished, or whose recipe has changed, come again though nothing
+    was delivered anew; withdrawn rows compete no longer.
     """
-    fresh = changed_rows(spark, old, new, schema).where(F.col(CHANGE) == "insert").drop(CHANGE)
-    items = fresh if known is None else fresh.unionByName(known.select(*fresh.columns))
-    return to_process(items, state, recipe)
+    if known is None:
+        known = changed_rows(spark, old, new, schema).where(F.col(CHANGE) == "insert").drop(CHANGE)
+    return to_process(known, state, recipe)
 
 
 def run(
@@ -108,7 +110,7 @@ def run(
     now = state.read() if at else None
     if now is None:
         raise ValueError("the state table needs a first version, which may be empty")
-    known = source.read(since) if since else None
+    known = source.read(to) if since else None
     todo = pending(spark, source.manifest(since), source.manifest(to), source.schema(to), now, recipe, known)
     done = materialize(process(materialize(todo, "pending")), "state")
     n = done.count()

@@ -118,16 +118,35 @@ def table_changes(spark, d):
 
 @query("SELECT run, CASE run WHEN 1 THEN n ELSE 0 END AS processed FROM (SELECT count(DISTINCT (collection, source_id, document_id)) AS n FROM source_item), (SELECT unnest([1, 2]) AS run)")
 def p1_runs(spark, d):
-    """Two runs from an empty state: the first processes every document with a recipe once, the second none of them again."""
+    """Runs from an empty state: the first processes every document with a recipe once, later ones none of them again.
+
+    Beside the table's documents there are others that are left unfinished and then withdrawn, once by a
+    deletion vector and once by removing files. The second row counts what all runs after the first process.
+    """
     items = table(spark, d, "source_item")
     src, st = VersionedTable(spark, _place(spark, "source")), VersionedTable(spark, _place(spark, "state"))
     # every delivery has a digest here; media types without a recipe would always be pending
     src.commit(add=items)
+    others = items.withColumn("document_id", F.concat(F.lit("withdrawn/"), "document_id"))
+    src.commit(add=others)
     schema = table(spark, d, "ingest_document").schema
     st.commit(add=spark.createDataFrame([], schema))
     recipe = table(spark, d, "recipe")
-    n = [incremental.run(spark, src, st, recipe, lambda todo: incremental.state_rows(todo, schema, "run", "2026-02-01T00:00:00Z")) for _ in range(2)]
-    return spark.createDataFrame([(i + 1, x) for i, x in enumerate(n)], "run int, processed long")
+
+    def work(todo: DataFrame) -> DataFrame:
+        return incremental.state_rows(todo, schema, "run", "2026-02-01T00:00:00Z")
+
+    def some(todo: DataFrame) -> DataFrame:
+        return work(todo.where("NOT coalesce(startswith(document_id, 'withdrawn/'), false)"))
+
+    first = incremental.run(spark, src, st, recipe, some)
+    src.commit(delete_keys=others.select("document_id").where("document_id IS NOT NULL"))
+    again = incremental.run(spark, src, st, recipe, work)
+    src.commit(add=others)
+    again += incremental.run(spark, src, st, recipe, some)
+    src.commit(add=items, overwrite=True)
+    again += incremental.run(spark, src, st, recipe, work)
+    return spark.createDataFrame([(1, first), (2, again)], "run int, processed long")
 
 
 @query(

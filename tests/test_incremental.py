@@ -116,6 +116,32 @@ def test_runs_neither_skip_nor_repeat(spark, tmp_path, recipe):
     assert st.properties()[I.PROCESSED] == "2" and st.read().count() == 6
 
 
+@pytest.mark.parametrize("by", ["vector", "file"])
+def test_withdrawn_rows_compete_no_longer(spark, tmp_path, recipe, by):
+    src, st = VersionedTable(spark, f"file://{tmp_path}/src"), VersionedTable(spark, f"file://{tmp_path}/state")
+    schema = spark.createDataFrame([], STATE).schema
+    st.commit(add=spark.createDataFrame([], STATE))
+    kept = spark.createDataFrame([item(1, "older", b"A"), item(2, "same", b"A")], ITEM)
+    src.commit(add=kept)
+    gone = spark.createDataFrame([item(3, "older", b"B", seen=datetime(2025, 3, 1)), item(4, "unfinished", b"A")], ITEM)
+    src.commit(add=gone)
+    seen = []
+
+    def work(todo):
+        seen[:] = sorted((r["document_id"], bytes(r["content_hash"])) for r in todo.collect())
+        return I.state_rows(todo.where("document_id <> 'unfinished'"), schema, "r", "2025-02-01T00:00:00Z")
+
+    assert I.run(spark, src, st, recipe, work) == 2
+    assert seen == [("older", b"B"), ("same", b"A"), ("unfinished", b"A")]
+    if by == "vector":
+        src.commit(delete_keys=gone.select("item_seq"))
+    else:
+        src.commit(add=kept, overwrite=True)
+    assert I.run(spark, src, st, recipe, work) == 1 and seen == [("older", b"A")]
+    assert I.run(spark, src, st, recipe, work) == 0 and seen == []
+    assert st.properties()[I.PROCESSED] == "3"
+
+
 def test_a_lost_race_changes_nothing(spark, tmp_path, recipe):
     src, st = VersionedTable(spark, f"file://{tmp_path}/src"), VersionedTable(spark, f"file://{tmp_path}/state")
     schema = spark.createDataFrame([], STATE).schema
