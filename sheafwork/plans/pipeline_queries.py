@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafwork.functions.filters import Field
+from sheafwork.functions.text import media_type
 from sheafwork.operators import chunking, embedding, incremental, state
 from sheafwork.operators.collection import Collection, Definition
 from sheafwork.operators.ingest import Pipeline
@@ -81,6 +82,14 @@ def extract_documents(spark, d):
     return got.join(t.select("doc_id", F.lower(F.coalesce("media_type", F.lit("text/plain"))).alias("kind")), "doc_id").groupBy("kind", "status").agg(F.count("*").alias("n"))
 
 
+@query("SELECT lower(trim(split_part(coalesce(media_type, 'text/plain'), ';', 1))) AS kind, CASE WHEN trim(coalesce(text, ''), chr(10) || chr(13) || chr(9) || ' ') = '' THEN 'NoTextLayer' ELSE 'Indexed' END AS status, count(*) AS n FROM documents GROUP BY 1, 2")
+def extract_all_documents(spark, d):
+    """Every text of a table through the extractors, by media type without parameters."""
+    docs = files.items(table(spark, d, "documents"), "doc_id", "text", "media_type")
+    got = files.extract(docs).select("document_id", "status")
+    return got.join(docs.select("document_id", media_type(F.col("media_type")).alias("kind")), "document_id").groupBy("kind", "status").agg(F.count("*").alias("n"))
+
+
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     """Daily counts by a stream with a watermark."""
@@ -106,10 +115,10 @@ def stream_append(spark, d):
 
 @query("SELECT 1 AS since, o_orderstatus AS status, count(*) FILTER (WHERE o_orderkey % 4 = 1) AS inserted, count(*) FILTER (WHERE o_orderkey % 4 = 0 AND o_custkey % 2 = 0) AS deleted FROM orders GROUP BY 2")
 def table_changes(spark, d):
-    """Record deltas between versions of a table: an append and a delete by keys."""
+    """Record deltas between versions of a table, which together hold every order: an append and a delete by keys."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     t = VersionedTable(spark, _place(spark, "orders"))
-    t.commit(add=o.where("o_orderkey % 4 = 0"))
+    t.commit(add=o.where("coalesce(o_orderkey % 4 <> 1, true)"))
     t.commit(add=o.where("o_orderkey % 4 = 1"))
     t.commit(delete_keys=o.where("o_orderkey % 4 = 0 AND o_custkey % 2 = 0").select("o_orderkey"))
     c = t.changes(1).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count_if(F.col("_change") == "insert").alias("inserted"), F.count_if(F.col("_change") == "delete").alias("deleted"))

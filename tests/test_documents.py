@@ -178,3 +178,18 @@ def test_items_of_a_table(spark):
     df = files.items(spark.createDataFrame([(1, "x y", None), (2, None, "text/markdown")], "id long, t string, m string"), "id", "t", "m")
     got = {r["document_id"]: (r["status"], r["text"]) for r in files.extract(df).collect()}
     assert got == {"1": ("Indexed", "x y"), "2": ("NoTextLayer", "")}
+
+
+def test_queries_use_every_row(spark, monkeypatch):
+    from sheafwork.plans import pipeline_queries as P
+    from sheafwork.sources.versioned import VersionedTable
+
+    docs = spark.createDataFrame([(1, "a", "text/plain"), (2, "b", "Text/Plain; charset=utf-8"), (3, " ", None), (4, "# c", "text/markdown;x=y")], "doc_id long, text string, media_type string")
+    orders = spark.range(40).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus")
+    monkeypatch.setattr(P, "table", lambda spark, d, name: docs if name == "documents" else orders)
+    got = {(r["kind"], r["status"]): r["n"] for r in P.extract_all_documents(spark, "").collect()}
+    assert got == {("text/plain", "Indexed"): 2, ("text/plain", "NoTextLayer"): 1, ("text/markdown", "Indexed"): 1}
+    added = []
+    commit = VersionedTable.commit
+    monkeypatch.setattr(VersionedTable, "commit", lambda self, **kw: (added.append(kw["add"].count()) if "add" in kw else None, commit(self, **kw))[1])
+    assert [tuple(r) for r in P.table_changes(spark, "").collect()] == [(1, "O", 10, 10)] and added == [30, 10]
