@@ -8,14 +8,17 @@ either side, and what they meet is ranked by distance.
 
 Plan:
 
-1. A bounded sample (``sample`` vectors) gives each collection its centre and each tree cut points
-   between equal parts of the array. Every vector is then indexed.
-2. One row per vector and tree, with the vector in one byte a component, is shuffled to its part
-   and sorted there. A string ends in bits of the key's hash, so that even equal vectors spread
-   over parts; however many there are, each meets ``reach`` others to either side and no more.
+1. Keys with equal vectors are one class. A bounded sample (``sample`` classes) gives each
+   collection its centre and each tree cut points between equal parts of the array. Every class is
+   then indexed, by one vector.
+2. One row per class and tree, with the vector in one byte a component, is shuffled to its part
+   and sorted there. A string ends in bits of the class's hash, other ones in each tree, so that
+   vectors with equal signs meet others in every tree.
 3. A part is read as a stream of blocks; distances within a block are one matrix product. Of each
    vector and tree the nearest few go on, if within the distance asked for.
-4. They are merged over trees, computed again from the stored vectors, and ranked.
+4. They are merged over trees and computed again from the stored vectors. The least keys of the
+   classes met, and of a class itself, are ranked by distance and key: k + 1 are enough for any
+   class, since a key leaves out only itself.
 """
 
 from __future__ import annotations
@@ -89,8 +92,9 @@ def strings(x: np.ndarray, ids: np.ndarray, ix: Index) -> np.ndarray:
     trees = ix.planes.shape[0]
     signs = ((x - ix.centre) @ ix.planes.reshape(trees * SIGN_BITS, -1).T > 0).reshape(len(x), trees, SIGN_BITS)
     h = signs @ (np.int64(1) << np.arange(SIGN_BITS - 1, -1, -1, dtype=np.int64))
-    tail = (ids.view(np.uint64) >> np.uint64(64 - (63 - SIGN_BITS))).astype(np.int64)
-    return (h << np.int64(63 - SIGN_BITS)) | tail[:, None]
+    odd = np.uint64(0x9E3779B97F4A7C15) * (2 * np.arange(trees, dtype=np.uint64) + np.uint64(1))
+    tail = ((ids.view(np.uint64)[:, None] * odd) >> np.uint64(64 - (63 - SIGN_BITS))).astype(np.int64)
+    return (h << np.int64(63 - SIGN_BITS)) | tail
 
 
 def exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -138,13 +142,13 @@ class Forest:
     ``dimensions``, ``distance_function``, ``neighbour_count`` and, if distances are
     bounded, ``neighbour_max_distance``. Vectors that are null, of another length, not
     finite or all zero take no part, nor do rows whose key or collection is null or has no
-    profile with a known distance function. Rows written twice under one key count once.
+    profile with a known distance function. Rows written twice under one key count once; of
+    different vectors under one key one counts, always the same.
     Ties are ranked by key. Empty tables give empty results.
     """
 
     def __init__(self, df: DataFrame, profiles: DataFrame, trees: int = 12, reach: int = 96, sample: int = 12_288, bounded: bool = True, seed: int = 7):
         self.spark, self.trees, self.reach, self.bounded = df.sparkSession, trees, reach, bounded
-        self.base = df.select("collection", "key", F.xxhash64("collection", "key").alias("id"), "embedding").where("key IS NOT NULL AND embedding IS NOT NULL")
         rows = profiles.select("collection", "dimensions", "distance_function", "neighbour_count", *(["neighbour_max_distance"] if bounded else [])).limit(MOST_COLLECTIONS + 1).collect()
         if len(rows) > MOST_COLLECTIONS:
             raise ValueError(f"more than {MOST_COLLECTIONS} collections")
@@ -153,18 +157,30 @@ class Forest:
             for r in rows
             if r[0] is not None and r[1] and r[3] and r[2] and r[2].strip().lower() in METRICS
         }
+        e = df.select("collection", "key", F.col("embedding").cast("array<float>").alias("embedding")).where("key IS NOT NULL")
+        dims = F.coalesce(*[F.when(F.col("collection") == n, p.dimensions) for n, p in self.profiles.items()]) if self.profiles else F.lit(None).cast("int")
+        finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        e = e.where((F.size("embedding") == dims) & finite & F.exists("embedding", lambda v: v != 0))
+        self.base = e.select("collection", "key", F.xxhash64("collection", "embedding").alias("id"), "embedding")  # equal vectors have one id
+        self.keys = materialize(self.base.groupBy("collection", "key").agg(F.min("id").alias("id"), F.max("id").alias("_other")), "near-keys")
+        if not self.keys.where("id <> _other").isEmpty():
+            self.base = self.base.join(self.keys.select("collection", "key", "id"), ["collection", "key", "id"], "left_semi").select(*self.base.columns)
         self.index = self._fit(sample, seed)
 
+    def _sampled(self, keys: DataFrame, most: int):  # noqa: ANN202
+        """The ``most`` classes with the least ids, a sample of all since an id is a hash, by id."""
+        ids = keys.select("collection", "id").distinct().orderBy("id").limit(most)
+        rows = self.base.join(F.broadcast(ids), ["collection", "id"], "left_semi").select("collection", "id", "embedding")
+        return rows.dropDuplicates(["collection", "id"]).orderBy("id").toArrow()
+
     def _fit(self, sample: int, seed: int) -> dict[str, Index]:
-        known = self.base.where(F.col("collection").isin(list(self.profiles)))
-        # the least ids are a sample of all rows, since an id is a hash
-        got = known.orderBy("id").limit(sample).toArrow() if self.profiles else None
+        got = self._sampled(self.keys, sample) if self.profiles else None
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         out = {}
         for n, (name, p) in enumerate(sorted(self.profiles.items())):
             own = got.filter(pa.compute.equal(got["collection"], name))
             if len(own) < FEWEST_SAMPLED:
-                own = known.where(F.col("collection") == name).orderBy("id").limit(min(sample, 4 * FEWEST_SAMPLED)).toArrow()
+                own = self._sampled(self.keys.where(F.col("collection") == name), min(sample, 4 * FEWEST_SAMPLED))
             x, rows = matrix(own["embedding"], p.dimensions)
             x, ids = placed(x, p.metric), own["id"].to_numpy()[rows]
             rng = np.random.default_rng((seed, n))
@@ -180,7 +196,7 @@ class Forest:
         return out
 
     def _entries(self) -> DataFrame:
-        """One row per vector and tree: its part, hash string, id, components in a byte each and their scale."""
+        """One row per class and tree: its part, hash string, id, components in a byte each and their scale."""
         index = self.index
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +220,11 @@ class Forest:
                         cols = [pa.array(tree), pa.array(part), pa.array(h[:, t]), pa.array(i), code, pa.array(scale.astype(np.float32))]
                         yield pa.RecordBatch.from_arrays(cols, names=["tree", "part", "h", "id", "code", "scale"])
 
-        known = self.base.where(F.col("collection").isin(list(index))).select("collection", "id", "embedding")
-        return known.mapInArrow(of, "tree int, part int, h long, id long, code binary, scale float")
+        classes = self.base.select("collection", "id", "embedding").dropDuplicates(["collection", "id"])
+        return classes.mapInArrow(of, "tree int, part int, h long, id long, code binary, scale float")
 
     def candidates(self, slack: float = 0.05) -> DataFrame:
-        """(``q``, ``c``): what the trees' stretches offer each vector, nearest by the coded distance."""
+        """(``q``, ``c``): what the trees' stretches offer each class, nearest by the coded distance."""
         trees, reach = self.trees, self.reach
         of_tree = {ix.number: ix.profile for ix in self.index.values()}
 
@@ -254,11 +270,13 @@ class Forest:
         """(``collection``, ``key``, ``neighbour``, ``distance``, ``rank``): each vector's k nearest, within the bound if there is one."""
         index = self.index
         cand = materialize(self.candidates(), "near")
-        ids = materialize(cand.select(F.explode(F.array("q", "c")).alias("id")).distinct(), "near-ids")
-        need = self.base.where(F.col("collection").isin(list(index))).join(small_enough(ids), "id", "left_semi")
-        need = materialize(need.dropDuplicates(["id", "key"]), "near-vectors")
-        side = lambda n: need.select(F.col("id").alias(n), F.col("collection").alias(f"{n}_col"), F.col("key").alias(f"{n}_key"), F.col("embedding").alias(f"{n}_v"))
-        j = cand.join(side("q"), "q").join(side("c"), "c").where("q_col = c_col AND q_key <> c_key").select("q_col", "q_key", "c_key", "q_v", "c_v")
+        several = self.keys.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("q"), F.col("id").alias("c"))
+        pairs = materialize(cand.unionByName(several), "near-pairs")
+        ids = materialize(pairs.select(F.explode(F.array("q", "c")).alias("id")).distinct(), "near-ids")
+        need = self.base.join(small_enough(ids), "id", "left_semi").select("collection", "id", "embedding")
+        need = materialize(need.dropDuplicates(["collection", "id"]), "near-vectors")
+        side = lambda n: need.select(F.col("id").alias(n), F.col("collection").alias(f"{n}_col"), F.col("embedding").alias(f"{n}_v"))
+        j = pairs.join(side("q"), "q").join(side("c"), "c").where("q_col = c_col").select("q_col", "q", "c", "q_v", "c_v")
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -272,12 +290,21 @@ class Forest:
                         v = exact(x, y, p.metric)
                         d[own] = np.where(v <= (np.inf if p.within is None else p.within), v, np.inf)
                 ok = pa.array(np.isfinite(d))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), b.column(2).filter(ok), pa.array(d).filter(ok)], names=["collection", "key", "neighbour", "distance"])
-
-        d = j.mapInArrow(of, "collection string, key string, neighbour string, distance double").distinct()
-        most = F.coalesce(*[F.when(F.col("collection") == n, ix.profile.k) for n, ix in index.items()]) if index else F.lit(0)
-        w = Window.partitionBy("collection", "key").orderBy("distance", "neighbour")
-        return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), b.column(2).filter(ok), pa.array(d).filter(ok)], names=["collection", "q", "c", "distance"])
+
+        near = j.mapInArrow(of, "collection string, q long, c long, distance double")
+        most = max((p.k for p in self.profiles.values()), default=0) + 1
+        first = Window.partitionBy("collection", "id").orderBy("key")
+        least = self.keys.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("collection", F.col("id").alias("c"), "key")
+        met = near.join(least, ["collection", "c"])
+        best = Window.partitionBy("collection", "q").orderBy("distance", "key")
+        met = met.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most)
+        lists = met.groupBy("collection", F.col("q").alias("id")).agg(F.sort_array(F.collect_list(F.struct("distance", F.col("key").alias("neighbour")))).alias("near"))
+        lists = materialize(lists, "near-lists")
+        k = F.coalesce(*[F.when(F.col("collection") == n, ix.profile.k) for n, ix in index.items()]) if index else F.lit(0)
+        own = self.keys.select("collection", "id", "key").join(small_enough(lists), ["collection", "id"])
+        others = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("key")), F.lit(1), k)
+        return own.select("collection", "key", F.posexplode(others).alias("_i", "x")).select("collection", "key", "x.neighbour", "x.distance", (F.col("_i") + 1).alias("rank"))
 
 
 def forest(spark: SparkSession, sf_dir: str, **kw) -> Forest:  # noqa: ANN003

@@ -52,6 +52,17 @@ def test_many_equal_vectors(spark):
     assert len(got) == 900 and {r["count"] for r in got} == {5}
 
 
+def test_copies_come_by_key(spark):
+    x = {"a": [1.0, 2.0, 3.0], "b": [1.0, 2.0, 3.5]}
+    keys = {f"k{i:03d}": "b" if i % 3 == 0 else "a" for i in range(60)} | {"single": "b"}
+    df = spark.createDataFrame([("c", key, x[v]) for key, v in keys.items()], "collection string, key string, embedding array<float>")
+    got = N.Forest(df, spark.createDataFrame([("c", 3, "EuclideanDistance", 25, 1.0)], PROFILE)).neighbours().orderBy("key", "rank").collect()
+    for key, v in keys.items():
+        mine = [(r["neighbour"], r["rank"]) for r in got if r["key"] == key]
+        want = sorted((k for k in keys if k != key), key=lambda k: (keys[k] != v, k))[:25]
+        assert mine == [(k, i + 1) for i, k in enumerate(want)]
+
+
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([], "collection string, key string, embedding array<float>, id long, h long")
     p = spark.createDataFrame([("c", 3, "CosineDistance", 5, 0.01)], PROFILE)
