@@ -15,7 +15,8 @@ Plan:
    and sorted there. A string ends in bits of the class's hash, other ones in each tree, so that
    vectors with equal signs meet others in every tree.
 3. A part is read as a stream of blocks; distances within a block are one matrix product. Of each
-   vector and tree the nearest few go on, if within the distance asked for.
+   class and tree those go on that can be among the nearest k and within the distance asked for,
+   whatever error the coding has made.
 4. They are merged over trees and computed again from the stored vectors. The least keys of the
    classes met, and of a class itself, are ranked by distance and key: k + 1 are enough for any
    class, since a key leaves out only itself.
@@ -114,25 +115,41 @@ def block_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
         return out
     d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
     np.maximum(d, 0, out=d)
-    return d / 2 if metric == "cos" else np.sqrt(d)
+    return np.sqrt(d)
 
 
-def near_in_block(x: np.ndarray, ids: np.ndarray, first: int, last: int, reach: int, most: int, within: float, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows first..last of a sorted stretch, up to ``most`` nearest of those ``reach`` to either side."""
+def margins(x: np.ndarray, coded: np.ndarray, metric: str) -> np.ndarray:
+    """How far each vector's coding and single precision may move its distances, at most.
+
+    By the triangle inequality a pair's distance moves by no more than both vectors' coding errors.
+    Rounding adds (dims + 8) / 2**24 of both lengths to a sum of differences, and of the square of
+    both lengths to a squared distance. Of unit vectors (cosine) the distance meant is the chord.
+    """
+    x, coded, unit = x.astype(np.float64), coded.astype(np.float64), (x.shape[1] + 8) / 2**24
+    if metric == "l1":
+        m = np.abs(x - coded).sum(1) + unit * (np.abs(coded).sum(1) + np.abs(x).sum(1))
+    else:
+        m = np.linalg.norm(x - coded, axis=1) + np.sqrt(unit) * (np.linalg.norm(coded, axis=1) + np.linalg.norm(x, axis=1))
+    return np.nextafter(m.astype(np.float32), np.float32(np.inf))
+
+
+def near_in_block(x: np.ndarray, ids: np.ndarray, margin: np.ndarray, first: int, last: int, reach: int, most: int, within: float, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """For rows first..last of a sorted stretch, all that can be among the ``most`` nearest of those ``reach`` to either side.
+
+    Left out are only rows that aren't within the bound, or that ``most`` others are nearer than, whatever the coding errors are.
+    """
     lo, hi = max(0, first - reach), min(len(x), last + reach)
     d = block_distances(x[first:last], x[lo:hi], metric)
     i, j = np.arange(first, last)[:, None], np.arange(lo, hi)[None]
     d[(np.abs(i - j) > reach) | (ids[first:last, None] == ids[None, lo:hi])] = np.inf
-    d[d > within] = np.inf
-    r, c = np.nonzero(np.isfinite(d))
-    if not len(r):
-        return ids[:0], ids[:0], d[:0, 0]
-    v = d[r, c]
-    o = np.lexsort((ids[lo + c], v, r))
-    r, c, v = r[o], c[o], v[o]
-    start = np.searchsorted(r, r, side="left")
-    keep = np.arange(len(r)) - start < most
-    return ids[first + r[keep]], ids[lo + c[keep]], v[keep]
+    m = margin[first:last, None] + margin[None, lo:hi]
+    ok = np.isfinite(d) & (d - m <= within)
+    many = np.flatnonzero(ok.sum(axis=1) > most)
+    if len(many):
+        upper = np.where(ok[many], d[many] + m[many], np.inf)
+        ok[many] &= d[many] - m[many] <= np.partition(upper, most - 1, axis=1)[:, most - 1, None]
+    r, c = np.nonzero(ok)
+    return ids[first + r], ids[lo + c]
 
 
 class Forest:
@@ -196,7 +213,7 @@ class Forest:
         return out
 
     def _entries(self) -> DataFrame:
-        """One row per class and tree: its part, hash string, id, components in a byte each and their scale."""
+        """One row per class and tree: its part, hash string, id, components in a byte each, their scale and margin."""
         index = self.index
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,30 +230,31 @@ class Forest:
                     h = strings(x, i, ix)
                     scale = np.abs(x).max(axis=1) / 127
                     code = np.rint(x / np.maximum(scale, np.float32(1e-38))[:, None]).astype(np.int8)
+                    margin = pa.array(margins(x, code.astype(np.float32) * scale[:, None], ix.profile.metric))
                     code = pa.array([c.tobytes() for c in code], pa.binary())
                     for t in range(h.shape[1]):
                         part = np.searchsorted(ix.cuts[t], h[:, t], side="right").astype(np.int32)
                         tree = np.full(len(x), ix.number * len(ix.planes) + t, np.int32)
-                        cols = [pa.array(tree), pa.array(part), pa.array(h[:, t]), pa.array(i), code, pa.array(scale.astype(np.float32))]
-                        yield pa.RecordBatch.from_arrays(cols, names=["tree", "part", "h", "id", "code", "scale"])
+                        cols = [pa.array(tree), pa.array(part), pa.array(h[:, t]), pa.array(i), code, pa.array(scale.astype(np.float32)), margin]
+                        yield pa.RecordBatch.from_arrays(cols, names=["tree", "part", "h", "id", "code", "scale", "margin"])
 
         classes = self.base.select("collection", "id", "embedding").dropDuplicates(["collection", "id"])
-        return classes.mapInArrow(of, "tree int, part int, h long, id long, code binary, scale float")
+        return classes.mapInArrow(of, "tree int, part int, h long, id long, code binary, scale float, margin float")
 
-    def candidates(self, slack: float = 0.05) -> DataFrame:
-        """(``q``, ``c``): what the trees' stretches offer each class, nearest by the coded distance."""
+    def candidates(self) -> DataFrame:
+        """(``q``, ``c``): what the trees' stretches offer each class, all that can be nearest by the coded distances and their margins."""
         trees, reach = self.trees, self.reach
         of_tree = {ix.number: ix.profile for ix in self.index.values()}
 
-        def stretch(x: np.ndarray, ids: np.ndarray, p: Profile, first: int, last: int) -> Iterator[pa.RecordBatch]:
-            within = np.inf if p.within is None else p.within * (1 + slack) + (0.004 if p.metric == "cos" else 0.02 if p.metric == "l2" else 0.1)
+        def stretch(x: np.ndarray, ids: np.ndarray, margin: np.ndarray, p: Profile, first: int, last: int) -> Iterator[pa.RecordBatch]:
+            within = np.inf if p.within is None else np.sqrt(2 * max(p.within, 0)) if p.metric == "cos" else p.within
             for lo in range(first, last, 256):
-                q, c, _ = near_in_block(x, ids, lo, min(last, lo + 256), reach, p.k + 3, within, p.metric)
+                q, c = near_in_block(x, ids, margin, lo, min(last, lo + 256), reach, p.k, within, p.metric)
                 if len(q):
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c)], names=["q", "c"])
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree, p, x, ids, done = None, None, None, None, 0
+            tree, p, x, ids, margin, done = None, None, None, None, None, 0
             for b in batches:
                 ts = b.column(0).to_numpy()
                 # runs of one (tree, part): the stretch goes on over batches
@@ -246,25 +264,26 @@ class Forest:
                     at = int(run[lo])
                     if at != tree:
                         if x is not None:
-                            yield from stretch(x, ids, p, done, len(x))
-                        tree, p, x, ids, done = at, of_tree[int(ts[lo]) // trees], None, None, 0
+                            yield from stretch(x, ids, margin, p, done, len(x))
+                        tree, p, x, ids, margin, done = at, of_tree[int(ts[lo]) // trees], None, None, None, 0
                     part = b.slice(lo, hi - lo)
                     new_ids = part.column(3).to_numpy()
                     code = np.frombuffer(b"".join(part.column(4).to_pylist()), np.int8).reshape(-1, p.dimensions)
                     new = code.astype(np.float32) * part.column(5).to_numpy()[:, None]
                     twice = np.append(False if ids is None else new_ids[0] == ids[-1], new_ids[1:] == new_ids[:-1])
-                    new, new_ids = new[~twice], new_ids[~twice]
+                    new, new_ids, new_margin = new[~twice], new_ids[~twice], part.column(6).to_numpy()[~twice]
                     x = new if x is None else np.concatenate([x, new])
                     ids = new_ids if ids is None else np.concatenate([ids, new_ids])
+                    margin = new_margin if margin is None else np.concatenate([margin, new_margin])
                     upto = max(done, len(x) - reach)
-                    yield from stretch(x, ids, p, done, upto)
+                    yield from stretch(x, ids, margin, p, done, upto)
                     drop = max(0, upto - reach)
-                    x, ids, done = x[drop:], ids[drop:], upto - drop
+                    x, ids, margin, done = x[drop:], ids[drop:], margin[drop:], upto - drop
             if x is not None:
-                yield from stretch(x, ids, p, done, len(x))
+                yield from stretch(x, ids, margin, p, done, len(x))
 
         e = self._entries().repartition("tree", "part").sortWithinPartitions("tree", "part", "h", "id")
-        return e.select("tree", "part", "h", "id", "code", "scale").mapInArrow(of, "q long, c long").distinct()
+        return e.select("tree", "part", "h", "id", "code", "scale", "margin").mapInArrow(of, "q long, c long").distinct()
 
     def neighbours(self) -> DataFrame:
         """(``collection``, ``key``, ``neighbour``, ``distance``, ``rank``): each vector's k nearest, within the bound if there is one."""

@@ -63,6 +63,20 @@ def test_copies_come_by_key(spark):
         assert mine == [(k, i + 1) for i, k in enumerate(want)]
 
 
+@pytest.mark.parametrize(("name", "short", "within", "dims"), [("EuclideanDistance", "l2", 0.35, 48), ("ManhattanDistance", "l1", 2.4, 64)])
+def test_long_vectors_lose_no_pair(spark, name, short, within, dims):
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((60, dims))
+    a *= 100 / np.linalg.norm(a, axis=1, keepdims=True)
+    step = rng.standard_normal(a.shape)
+    step *= 0.9 * within / (np.linalg.norm(step, axis=1, keepdims=True) if short == "l2" else np.abs(step).sum(1, keepdims=True))
+    x = np.concatenate([a, a + step]).astype(np.float32)
+    keys = [f"k{i:03d}" for i in range(len(x))]
+    df = spark.createDataFrame([("c", k, v.tolist()) for k, v in zip(keys, x, strict=True)], "collection string, key string, embedding array<float>")
+    got = {(r["key"], r["neighbour"]) for r in N.Forest(df, spark.createDataFrame([("c", dims, name, 3, within)], PROFILE)).neighbours().collect()}
+    assert got == brute(x, keys, short, 3, within) and len(got) == 120
+
+
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([], "collection string, key string, embedding array<float>, id long, h long")
     p = spark.createDataFrame([("c", 3, "CosineDistance", 5, 0.01)], PROFILE)
