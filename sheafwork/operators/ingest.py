@@ -22,6 +22,7 @@ def _schema(said: str) -> T.StructType:
 
 CHUNKS = _schema("collection:string source_id:string document_id:string chunk_key:string ordinal:int char_start:int char_end:int token_count:int heading_path:string text:string text_hash:string kind:string page:int embedding:vector")
 STATE = _schema("collection:string source_id:string document_id:string content_hash:string recipe_hash:string size_bytes:long chunk_count:int status:string error:string last_run_id:string")
+FAILURES = _schema("collection:string source_id:string document_id:string content_hash:string error:string run_id:string")
 DOC = state.DOC
 
 
@@ -52,20 +53,28 @@ class Pipeline:
     def __init__(self, spark: SparkSession, root: str, collection: str, options: chunking.Options, embedder: embedding.Embedder, dimensions: int, model: str = "hashing", chunker: str = "auto"):
         self.spark, self.collection, self.o, self.chunker, self.embedder, self.dimensions = spark, collection, options, chunker, embedder, dimensions
         self.chunks, self.state = VersionedTable(spark, f"{root}/chunks"), VersionedTable(spark, f"{root}/state")
+        self.failures = VersionedTable(spark, f"{root}/failures")
         self.recipe = recipe_hash(options, chunker, model, dimensions, {"plain-text": 1, "markdown": 1})
-        for t, s in ((self.chunks, CHUNKS), (self.state, STATE)):
+        for t, s in ((self.chunks, CHUNKS), (self.state, STATE), (self.failures, FAILURES)):
             if not t.version():
                 t.commit(add=spark.createDataFrame([], s))
 
-    def run(self, items: DataFrame, source_id: str, most_documents: int | None = None, prune: bool = True) -> Result:
-        """One run over a source's items: ``document_id``, ``text``, ``media_type``."""
+    def run(self, items: DataFrame, source_id: str, most_documents: int | None = None, prune: bool = True, order: list[str] | None = None) -> Result:
+        """One run over a source's items: ``document_id``, ``text``, ``media_type``.
+
+        Of several deliveries of one document the first in ``order``, columns of ``items``, counts;
+        equal ones, or all if there is no order, go by content hash and media type. The others
+        are counted as failed and written to ``failures``; the document's chunks and state are the first's.
+        """
         run_id = uuid.uuid4().hex
         at_chunks, at_state = self.chunks.version(), self.state.version()
         now = self.state.read(at_state).where((F.col("collection") == self.collection) & (F.col("source_id") == source_id))
-        d = items.select(F.lit(self.collection).alias("collection"), F.lit(source_id).alias("source_id"), F.col("document_id").cast("string").alias("document_id"), "text", F.coalesce("media_type", F.lit("text/plain")).alias("media_type"))
+        d = items.select(F.lit(self.collection).alias("collection"), F.lit(source_id).alias("source_id"), F.col("document_id").cast("string").alias("document_id"), "text", F.coalesce("media_type", F.lit("text/plain")).alias("media_type"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])])
         d = d.withColumn("content_hash", content_hash(F.col("text"))).withColumn("size_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-        seen = materialize(d.dropDuplicates(DOC), "seen")
-        n_seen = seen.count()
+        by = [f"_o{i}" for i in range(len(order or []))]
+        d = materialize(state.first_delivery(d, [*by, "content_hash", "media_type"]).drop(*by), "seen")
+        seen, later = d.where("NOT duplicate").drop("duplicate"), d.where("duplicate")
+        n_seen, n_later = d.count(), later.count()
         old = now.select(*DOC, F.col("content_hash").alias("_c"), F.col("recipe_hash").alias("_r"), F.col("status").alias("_s"))
         same = (F.col("content_hash") == F.col("_c")) & (F.col("_r") == self.recipe) & F.col("_s").isin("Indexed", "NoTextLayer", "Unsupported", "Failed")
         todo = seen.join(old, DOC, "left").where(~F.coalesce(same, F.lit(False))).drop("_c", "_r", "_s")
@@ -104,4 +113,7 @@ class Pipeline:
             if self.state.version() != at_state:
                 raise ConcurrentCommit("another run is active")
             self.state.commit(add=rows, delete_keys=rows.select(*DOC).unionByName(dead), expected=at_state)
-        return Result(run_id, "Suspended" if suspended else "Completed", {"seen": n_seen, "indexed": n, "skipped": n_seen - n, "removed_documents": dead.count(), **{k: counts.get(k, 0) for k in ("added", "removed", "unchanged", "repaired")}})
+        if n_later:
+            error = F.concat(F.lit("6054: document id '"), F.coalesce("document_id", F.lit("")), F.lit("' was delivered more than once in a run"))
+            self.failures.commit(add=later.select(*DOC, "content_hash", error.alias("error"), F.lit(run_id).alias("run_id")))
+        return Result(run_id, "Suspended" if suspended else "Completed", {"seen": n_seen, "indexed": n, "skipped": n_seen - n_later - n, "failed": n_later, "removed_documents": dead.count(), **{k: counts.get(k, 0) for k in ("added", "removed", "unchanged", "repaired")}})

@@ -12,15 +12,16 @@ from sheafwork.operators.ingest import Pipeline, Result
 from sheafwork.sources.versioned import VersionedTable
 
 
-def ingest_stream(items: DataFrame, pipeline: Pipeline, source_id: str, checkpoint: str, done: Callable[[Result], None] | None = None) -> StreamingQuery:
+def ingest_stream(items: DataFrame, pipeline: Pipeline, source_id: str, checkpoint: str, done: Callable[[Result], None] | None = None, order: list[str] | None = None) -> StreamingQuery:
     """Run the pipeline on every micro-batch of a stream of items.
 
     A batch that is repeated after a failure finds its documents unchanged in the state and does
     nothing, so each is taken in once. A batch holds only what is new, so nothing is pruned.
+    ``order`` says which of several deliveries in a batch is the first.
     """
 
     def one(batch: DataFrame, _id: int) -> None:
-        result = pipeline.run(batch, source_id, prune=False)
+        result = pipeline.run(batch, source_id, prune=False, order=order)
         if done:
             done(result)
 

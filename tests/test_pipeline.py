@@ -104,6 +104,18 @@ def test_stream_takes_each_in_once(spark, pipeline, tmp_path):
     assert sum(r.counts["indexed"] for r in results) == 2 and p.state.read().count() == 2
 
 
+def test_the_first_delivery_counts_and_later_ones_fail(spark, pipeline):
+    p, _ = pipeline
+    rows = [(n, "a" if n else "b", f"text {n}", "text/plain") for n in (3, 1, 0, 2)]
+    items = spark.createDataFrame(rows, "n int, document_id string, text string, media_type string").repartition(3)
+    r = p.run(items, "s", order=["n"])
+    assert {k: r.counts[k] for k in ("seen", "indexed", "failed", "skipped")} == {"seen": 4, "indexed": 2, "failed": 2, "skipped": 0}
+    assert {(x["document_id"], x["text"]) for x in p.chunks.read().collect()} == {("a", "text 1"), ("b", "text 0")} and p.state.read().count() == 2
+    assert [(x["document_id"], x["error"][:4]) for x in p.failures.read().collect()] == [("a", "6054")] * 2
+    again = p.run(items, "s", order=["n"])
+    assert again.counts["indexed"] == 0 and again.counts["skipped"] == 2 and again.counts["failed"] == 2
+
+
 def test_append_and_windows(spark, tmp_path):
     src = f"file://{tmp_path}/ev"
     spark.createDataFrame([(datetime.datetime(2024, 1, 1, h), "a") for h in (0, 0, 1)], "ts timestamp, k string").write.parquet(src)
