@@ -23,11 +23,8 @@ from sheafwork.runtime import materialize, small_enough
 BLOCK = 16_384
 #: Fixed value: the golden ratio's fractional part, as a multiple of 2**-32.
 GOLDEN = 2654435769
-#: Slots that a mix has at least: where blocks of BLOCK tokens are fewer, blocks are smaller.
-LEAST_SLOTS = 4096
-#: Buckets that a source's shuffled documents, and slots that a bucket of a mix, are dealt to.
-BUCKETS, SLOTS = 256, 4096
-MOST_TARGETS = 100_000
+#: Documents, and slots, that a bucket of a running total holds on average.
+BUCKET = 4096
 
 
 def name(c: Column) -> Column:
@@ -73,20 +70,18 @@ class Mix:
         p = p.withColumn("short", (F.col("n") == 0) | (F.col("available") < F.col("target")))
         upto = Window.partitionBy("mix_id").orderBy("src")
         p = p.withColumn("high", F.sum("share").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-        p = p.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.ceil(F.col("total") / LEAST_SLOTS))).cast("long"))
+        p = p.withColumn("block", F.lit(block).cast("long"))
         #: One row per mix and source; as many as ``targets`` has.
         self.plan = materialize(p, "mix-plan")
 
     def slots(self) -> DataFrame:
         """(``mix_id``, ``slot``, ``src``, ``rank``): the schedule."""
-        # a mix's cumulative shares are one array; what a mix names is bounded by the targets
+        # a mix's cumulative shares are one array, as long as the list of its sources in ``targets``
         per = self.plan.groupBy("mix_id").agg(F.first("total").alias("total"), F.first("block").alias("block"), F.sort_array(F.collect_list(F.struct("high", "src"))).alias("cum"))
-        if self.plan.count() > MOST_TARGETS:
-            raise ValueError(f"more than {MOST_TARGETS} targets")
         n = F.ceil(F.col("total") / F.col("block"))
         # explode in two steps, a bucket of slots at a time
-        s = per.where(n > 0).select("mix_id", "cum", n.alias("n")).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOTS))))
-        s = s.repartition("mix_id", "bucket").withColumn("slot", F.explode(F.sequence(F.col("bucket") * SLOTS, F.least(F.col("n") - 1, F.col("bucket") * SLOTS + SLOTS - 1))))
+        s = per.where(n > 0).select("mix_id", "cum", n.alias("n")).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BUCKET))))
+        s = s.repartition("mix_id", "bucket").withColumn("slot", F.explode(F.sequence(F.col("bucket") * BUCKET, F.least(F.col("n") - 1, F.col("bucket") * BUCKET + BUCKET - 1))))
         u = F.pmod((F.pmod("slot", F.lit(1 << 32)) + 1) * F.lit(GOLDEN), F.lit(1 << 32)) / F.lit(float(1 << 32))
         s = s.withColumn("u", u).withColumn("src", F.expr("try_element_at(filter(cum, c -> c.high > u), 1).src"))
         # rounding may leave the last cumulative share under 1
@@ -95,11 +90,11 @@ class Mix:
 
     def blocks(self) -> DataFrame:
         """(``src``, ``repeat``, ``doc_id``, ``size``, ``at``): every source's documents laid end to end, for as many repeats as some mix may need."""
-        need = self.plan.where("size > 0").groupBy("src").agg(F.max(F.least("max_repeats", F.ceil(F.col("target") / F.col("size")) + 1)).alias("most"), F.first("size").alias("whole"))
+        need = self.plan.where("size > 0").groupBy("src").agg(F.max(F.least("max_repeats", F.ceil(F.col("target") / F.col("size")) + 1)).alias("most"), F.first("size").alias("whole"), F.ceil(F.first("n") / BUCKET).alias("buckets"))
         need = small_enough(materialize(need.where("most > 0"), "mix-need"))
         d = self.docs.join(need, "src").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("most").cast("int") - 1)))
         h = F.xxhash64(F.lit(self.seed), "repeat", "doc_id")
-        d = d.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+        d = d.withColumn("h", h).withColumn("bucket", F.pmod("h", "buckets").cast("int"))
         d = running_total(d, ["src", "repeat"], "bucket", ["h", "doc_id", "size"], F.col("size"), "at")
         return d.select("src", "repeat", "doc_id", "size", (F.col("at") + F.col("repeat") * F.col("whole")).alias("at"))
 
@@ -120,7 +115,7 @@ class Mix:
         used = self.rows().groupBy("mix_id", "source").agg(F.sum("size").alias("used"), F.count("*").alias("uses"))
         r = self.plan.join(small_enough(materialize(used, "mix-used")), ["mix_id", "source"], "left").fillna(0, ["used", "uses"])
         all_used = F.sum("used").over(Window.partitionBy("mix_id"))
-        return r.select("mix_id", "source", "share", "target", "available", "short", "used", "uses", F.coalesce(F.try_divide("used", all_used), F.lit(0.0)).alias("share_reached"))
+        return r.select("mix_id", "source", "share", "target", "available", "n", "short", "used", "uses", F.coalesce(F.try_divide("used", all_used), F.lit(0.0)).alias("share_reached"))
 
 
 def mix(spark: SparkSession, sf_dir: str) -> Mix:
@@ -129,8 +124,8 @@ def mix(spark: SparkSession, sf_dir: str) -> Mix:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of a mix that cannot reach their share."""
-    return mix(spark, sf_dir).report().where("short").select("mix_id", "source")
+    """Sources of a mix that cannot reach their share: those that the mix has used up, with all repeats, below it, or that have no document."""
+    return mix(spark, sf_dir).report().where("used < target OR n = 0").select("mix_id", "source")
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:

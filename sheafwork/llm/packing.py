@@ -1,7 +1,8 @@
 """Filling containers of fixed capacity with whole documents, by swap-based local search.
 
-Documents are dealt to blocks of bounded size by a hash of their id, so that no source or
-size can crowd one. In a block, items go best-fit into containers, largest first; then
+Pieces that fill a container by themselves are closed at once. All other items are dealt to blocks
+of bounded size by a hash of their id, so that no source or size can crowd one. In a block,
+items go best-fit into containers, largest first; then
 underfull containers are emptied, the least filled first: an item moves where it fits
 tightest, or is exchanged for a smaller one, or two are exchanged for one, each step
 raising the sum of squared fills, until no step does. What is still underfull leaves the block and is
@@ -14,20 +15,17 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.runtime import materialize
+from sheafwork.runtime import materialize, small_enough
 
 #: Items dealt to one block, on average.
 BLOCK = 4096
-#: A container filled to this share is done; the others go on to the next level.
+#: A container filled to this share is closed; the others are searched, and go on to the next level.
 FULL = 0.995
-#: Passes of local search over the underfull containers of a block.
-PASSES = 8
-#: Capacities that one call packs for.
-MOST_CAPACITIES = 1000
 
 
 def cut_points(text: bytes, capacity: int) -> list[int]:
@@ -64,90 +62,102 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, passes: int = PASSES) -> list[list[int]]:
-    """Containers after moves and exchanges, each of which raises the sum of squared fills."""
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int, full: float = FULL) -> list[list[int]]:
+    """Containers after moves and exchanges, each of which raises the sum of squared fills; none is left that would.
+
+    Containers filled to ``full`` are left as they are.
+    """
     fill = [sum(sizes[i] for i in b) for b in bins]
-    done = [b for b, f in zip(bins, fill, strict=True) if f >= FULL * capacity]
-    open_ = [(b, f) for b, f in zip(bins, fill, strict=True) if f < FULL * capacity]
-    work, fills = [list(b) for b, _ in open_], [f for _, f in open_]
+    done = [b for b, f in zip(bins, fill, strict=True) if f >= full * capacity]
+    work = [list(b) for b, f in zip(bins, fill, strict=True) if f < full * capacity]
+    fills = [f for f in fill if f < full * capacity]
     least = -(-sum(fills) // capacity) if fills else 0  # no packing has fewer
-    for _ in range(passes):
-        if sum(1 for b in work if b) <= least:
-            break
+    items = np.array(sorted(i for b in work for i in b), dtype=np.int64)
+    size = np.array([sizes[i] for i in items], dtype=np.int64)
+    place = {int(i): n for n, i in enumerate(items)}
+    home = np.empty(len(items), dtype=np.int64)  # the container of each item
+    for k, b in enumerate(work):
+        home[[place[i] for i in b]] = k
+    room = np.array([capacity - f for f in fills], dtype=np.int64)  # space left in each container
+    changed = True
+    while changed and sum(1 for b in work if b) > least:
         changed = False
-        for a in sorted((k for k in range(len(work)) if work[k]), key=lambda k: fills[k]):
-            if not work[a]:
-                continue
-            # fuller containers, by space left, so that the tightest place is one search away
-            room = sorted((capacity - fills[k], k) for k in range(len(work)) if k != a and work[k] and fills[k] >= fills[a])
-            for i in sorted(work[a], key=lambda i: -sizes[i]):
-                s = sizes[i]
-                k = bisect_left(room, (s, -1))
-                if k < len(room):  # move
-                    left, b = room.pop(k)
+        for a in sorted((k for k in range(len(work)) if work[k]), key=lambda k: (fills[k], k)):
+            while work[a] and (step := _move(work, fills, sizes, room, a) or _exchange(work, fills, sizes, items, size, home, room, a)):
+                b, mine, theirs = step
+                for i in mine:
                     work[a].remove(i)
                     work[b].append(i)
-                    fills[a] -= s
-                    fills[b] += s
-                    insort(room, (left - s, b))
-                    changed = True
-            if not work[a]:
-                continue
-            changed |= _exchange(work, fills, sizes, capacity, a, room)
-        if not changed:
-            break
+                    home[place[i]] = b
+                for j in theirs:
+                    work[b].remove(j)
+                    work[a].append(j)
+                    home[place[j]] = a
+                gain = sum(sizes[i] for i in mine) - sum(sizes[j] for j in theirs)
+                fills[a] -= gain
+                fills[b] += gain
+                room[a] += gain
+                room[b] -= gain
+                changed = True
     return done + [b for b in work if b]
 
 
-def _exchange(work: list[list[int]], fills: list[int], sizes: list[int], capacity: int, a: int, room: list[tuple[int, int]]) -> bool:
-    """One item, or two, of container ``a`` for a smaller one of a fuller container."""
-    changed = False
-    for left, b in room[-64:]:  # those with most space
-        if left <= 0 or not work[a]:
-            continue
-        own = sorted(work[a], key=lambda i: sizes[i])
-        theirs = sorted(work[b], key=lambda i: sizes[i])
-        best: tuple[int, tuple[int, ...], int] | None = None
-        weights = [sizes[i] for i in own]
-        for j in theirs:
-            # the largest own item that fits in j's place
-            k = bisect_left(weights, sizes[j] + left + 1) - 1
-            if k >= 0 and (gain := weights[k] - sizes[j]) > 0 and (best is None or gain > best[0]):
-                best = (gain, (own[k],), j)
-            lo, hi = 0, len(own) - 1
-            while lo < hi:  # two of them
-                two = weights[lo] + weights[hi]
-                if two - sizes[j] > left:
-                    hi -= 1
-                    continue
-                if two > sizes[j] and (best is None or two - sizes[j] > best[0]):
-                    best = (two - sizes[j], (own[lo], own[hi]), j)
-                lo += 1
-        if best:
-            gain, mine, j = best
-            for i in mine:
-                work[a].remove(i)
-                work[b].append(i)
-            work[b].remove(j)
-            work[a].append(j)
-            fills[a] -= gain
-            fills[b] += gain
-            changed = True
-    return changed
+Step = tuple[int, list[int], list[int]]
+
+
+def _fuller(work: list[list[int]], fills: list[int], room: np.ndarray, a: int) -> np.ndarray:
+    """Which containers are at least as full as ``a``: what they gain raises the sum of squares."""
+    ok = room <= room[a]
+    ok[a] = False
+    return ok & np.array([bool(b) for b in work])
+
+
+def _move(work: list[list[int]], fills: list[int], sizes: list[int], room: np.ndarray, a: int) -> Step | None:
+    """The largest item of ``a`` that a fuller container has room for, and the one where it fits tightest."""
+    ok = np.flatnonzero(_fuller(work, fills, room, a))
+    if not len(ok):
+        return None
+    by = ok[np.argsort(room[ok], kind="stable")]
+    for i in sorted(work[a], key=lambda i: (-sizes[i], i)):
+        k = int(np.searchsorted(room[by], sizes[i]))
+        if k < len(by):
+            return int(by[k]), [i], []
+    return None
+
+
+def _exchange(work: list[list[int]], fills: list[int], sizes: list[int], items: np.ndarray, size: np.ndarray, home: np.ndarray, room: np.ndarray, a: int) -> Step | None:
+    """The exchange of one item or two of ``a`` for a smaller one of any fuller container that moves most."""
+    own = sorted(work[a], key=lambda i: (sizes[i], i))
+    w = np.array([sizes[i] for i in own], dtype=np.int64)
+    x, y = np.triu_indices(len(own), 1)
+    sums, first, second = np.concatenate([w, w[x] + w[y]]), np.concatenate([np.arange(len(own)), x]), np.concatenate([np.full(len(own), -1), y])
+    order = np.argsort(sums, kind="stable")
+    there = np.flatnonzero(_fuller(work, fills, room, a)[home])
+    if not len(there):
+        return None
+    # for each item there, the most of one's own that fits in its place
+    k = np.searchsorted(sums[order], size[there] + room[home[there]], side="right") - 1
+    gain = np.where(k >= 0, sums[order][np.maximum(k, 0)] - size[there], 0)
+    best = int(np.argmax(gain))
+    if gain[best] <= 0:
+        return None
+    n = order[k[best]]
+    mine = [own[first[n]]] + ([own[second[n]]] if second[n] >= 0 else [])
+    return int(home[there[best]]), mine, [int(items[there[best]])]
 
 
 ITEM = "capacity_tokens long, doc_id long, piece int, pieces int, byte_start long, byte_end long, size long"
 PACKED = f"{ITEM}, container string, fill long, level int"
 
 
-def _pack_level(items: DataFrame, level: int) -> DataFrame:
+def _pack_level(items: DataFrame, level: int, full: float) -> DataFrame:
     """``items`` has ``block``; the result their containers."""
 
     def of(key: tuple, t: pa.Table) -> pa.Table:
         capacity, block = key[0].as_py(), key[1].as_py()
         t = t.select(["capacity_tokens", "doc_id", "piece", "pieces", "byte_start", "byte_end", "size"]).sort_by([("doc_id", "ascending"), ("piece", "ascending")])
         sizes = t["size"].to_pylist()
-        bins = local_search(best_fit(sizes, capacity), sizes, capacity)
+        bins = local_search(best_fit(sizes, capacity), sizes, capacity, full)
         name, fill = [""] * len(sizes), [0] * len(sizes)
         for k, b in enumerate(bins):
             f = sum(sizes[i] for i in b)
@@ -165,10 +175,9 @@ def items_of(docs: DataFrame, capacities: DataFrame) -> DataFrame:
     """
     caps = capacities.select(F.col("capacity_tokens").cast("long").alias("capacity_tokens")).where("capacity_tokens > 0").distinct()
     d = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("size")).where("text IS NOT NULL AND doc_id IS NOT NULL")
-    caps = materialize(caps, "capacities")
-    if caps.count() > MOST_CAPACITIES:
-        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
-    d = d.select("*", F.explode(F.array(*[F.lit(r[0]).cast("long") for r in caps.collect()])).alias("capacity_tokens")) if not caps.isEmpty() else d.withColumn("capacity_tokens", F.lit(0).cast("long")).limit(0)
+    # the capacities are one row, so that every document is read once and met by each
+    one = caps.agg(F.sort_array(F.collect_set("capacity_tokens")).alias("_caps"))
+    d = d.crossJoin(F.broadcast(one)).select("doc_id", "text", "size", F.explode("_caps").alias("capacity_tokens"))
     fits = d.where("size <= capacity_tokens").selectExpr("capacity_tokens", "doc_id", "0 AS piece", "1 AS pieces", "0L AS byte_start", "size AS byte_end", "size")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +193,7 @@ def items_of(docs: DataFrame, capacities: DataFrame) -> DataFrame:
     return fits.unionByName(d.where("size > capacity_tokens").select("capacity_tokens", "doc_id", "text").mapInArrow(of, ITEM))
 
 
-def pack(docs: DataFrame, capacities: DataFrame, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, capacities: DataFrame, block: int = BLOCK, full: float = FULL) -> DataFrame:
     """The containers of every capacity: one row per whole document or piece.
 
     ``docs``: ``doc_id``, ``text``, and any other columns, which are left out. ``capacities``: ``capacity_tokens``; repeated
@@ -192,23 +201,34 @@ def pack(docs: DataFrame, capacities: DataFrame, block: int = BLOCK) -> DataFram
     document larger than the capacity is divided, between code points; its full pieces fill
     containers of their own and its rest is an item like others. Rows with one ``doc_id`` are
     separate items. Each row has its ``container``, the container's ``fill`` and the ``level`` it was closed
-    at. An empty table gives an empty result.
+    at (-1: an item that fills it alone). A container filled to ``full`` of its capacity is
+    closed. An empty table gives an empty result.
     """
-    items = items_of(docs, capacities)
-    blocks = max(1, -(-docs.count() // block))
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int")
-    out, level, left = None, 0, items.withColumn("block", salt)
+    items = materialize(items_of(docs, capacities), "items")
+    alone = F.col("size") >= F.lit(full) * F.col("capacity_tokens")
+    name = F.concat_ws("-", F.col("capacity_tokens"), F.lit("alone"), F.col("doc_id"), F.col("piece"))
+    # rows with one id and piece are told apart by their place in the written table
+    alike = F.concat_ws("-", name, F.monotonically_increasing_id())
+    out = items.where(alone).withColumn("container", alike).withColumn("fill", F.col("size")).withColumn("level", F.lit(-1))
+    left, level = items.where(~alone), 0
     while True:
-        packed = materialize(_pack_level(left, level), f"packed{level}")
-        if blocks == 1:
-            return packed if out is None else out.unionByName(packed)
-        closed = packed.where(F.col("fill") >= FULL * F.col("capacity_tokens"))
-        rest = packed.where(F.col("fill") < FULL * F.col("capacity_tokens"))
-        out = closed if out is None else out.unionByName(closed)
-        most = rest.groupBy("capacity_tokens").count().agg(F.max("count")).first()[0] or 0
-        blocks = min(-(-blocks // 2), max(1, -(-most // block)))
+        # every capacity has as many blocks as its items need
+        need = left.groupBy("capacity_tokens").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        if level:
+            need = need.join(before, "capacity_tokens").select("capacity_tokens", F.least("blocks", F.ceil(F.col("was") / 2)).cast("int").alias("blocks"))  # noqa: F821
+        need = materialize(need, f"blocks{level}")
+        salt = F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.col("blocks")).cast("int")
+        dealt = left.join(small_enough(need), "capacity_tokens").withColumn("block", salt)  # a row per capacity
+        packed = materialize(_pack_level(dealt.drop("blocks"), level, full), f"packed{level}")
+        last = small_enough(need.select("capacity_tokens", (F.col("blocks") <= 1).alias("last")))
+        packed = packed.join(last, "capacity_tokens")
+        closed = F.col("last") | (F.col("fill") >= F.lit(full) * F.col("capacity_tokens"))
+        out = out.unionByName(packed.where(closed).drop("last"))
+        if need.where("blocks > 1").isEmpty():
+            return out
+        left = packed.where(~closed).select(*items.columns)
+        before = need.select("capacity_tokens", F.col("blocks").alias("was"))
         level += 1
-        left = rest.select("capacity_tokens", "doc_id", "piece", "pieces", "byte_start", "byte_end", "size").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(blocks)).cast("int"))
 
 
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

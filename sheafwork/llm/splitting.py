@@ -3,7 +3,7 @@
 Tokens are counted inside the JVM, so that only texts over their limit reach Python. There
 a block of units before and one after slides over the text; how alike the two are, at each
 natural boundary, makes a curve whose valleys mark changes of topic. From the start of a
-piece, every boundary in the second half of what still fits is a candidate, of the best
+piece, every boundary in the second half of what still fits, and beyond the overlap, is a candidate, of the best
 kind there is: blank lines and sentence ends, else line breaks, else white space, else any
 token; the one in the deepest valley is cut. The next piece begins so many tokens earlier
 that it shares the overlap, moved to a word's start.
@@ -121,11 +121,13 @@ def joined(text: str, p: int) -> bool:
 def pieces(text: str, limit: int, overlap: int, block: int = 40) -> list[tuple[int, int, int, int]]:
     """(start, end, tokens, overlapping tokens) of pieces of at most ``limit`` tokens each.
 
-    Consecutive pieces share up to ``overlap`` tokens (at most half the limit); together they
-    cover every token. A text within the limit is one piece, one without tokens none.
+    Consecutive pieces share ``overlap`` tokens, less at most the word that the shared stretch would
+    begin in; together they cover every token. The overlap must be smaller than the limit, since a
+    piece has to go on beyond it. A text within the limit is one piece, one without tokens none.
     """
-    limit = max(1, limit)
-    overlap = min(max(0, overlap), limit // 2)
+    limit, overlap = max(1, limit), max(0, overlap)
+    if overlap >= limit:
+        raise ValueError(f"an overlap of {overlap} tokens leaves nothing new in pieces of {limit}")
     at = tokens(text)
     n = len(at)
     if not n:
@@ -164,7 +166,7 @@ def pieces(text: str, limit: int, overlap: int, block: int = 40) -> list[tuple[i
             out.append((at[start], len(text.rstrip()), n - start, done - start))
             return out
         hi = start + limit
-        end = cut(max(done + 1, start + limit // 2), hi)
+        end = cut(min(hi, max(done + 1, start + limit // 2, start + overlap + 1)), hi)
         out.append((at[start], _end(text, at[end]), end - start, done - start))
         back = max(start + 1, end - overlap)
         words = [p for p in kinds[3][bisect_left(kinds[3], at[back]) : bisect_right(kinds[3], at[end])]]
@@ -188,7 +190,8 @@ def split_oversized(df: DataFrame, limits: DataFrame, text: str = "text", by: st
     there is replaced), ``piece`` (from 0), ``pieces``, ``piece_start`` and ``piece_end`` (code points
     in the text as stored) and ``piece_overlap`` (tokens shared with the piece before). A row within its limit,
     or with no limit, keeps its text as it is, in one piece; a null text, too, with 0
-    tokens. Of a limit stated twice the smaller one holds. Equal rows stay as many.
+    tokens. Of a limit stated twice the smaller one holds. An overlap that isn't smaller than its
+    limit is an error as soon as a text is to be cut under it. Equal rows stay as many.
     """
     own = ["piece", "pieces", "piece_start", "piece_end", "piece_overlap", "token_count", text]
     keep = [c for c in df.columns if c not in own]

@@ -20,7 +20,7 @@ def test_exchanges_empty_a_bin():
     # best fit alone leaves four bins; one exchange makes three
     sizes = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6]
     start = [[0, 1], [2, 3, 4], [5, 6, 7, 8, 9]]
-    got = P.local_search(start, sizes, 60 + 8, passes=20)
+    got = P.local_search(start, sizes, 60 + 8)
     assert sorted(i for b in got for i in b) == list(range(10)) and all(sum(sizes[i] for i in b) <= 68 for b in got)
 
 
@@ -60,3 +60,35 @@ def test_empty(spark):
     spec = spark.createDataFrame([(500,)], "capacity_tokens long")
     assert P.pack(df, spec).count() == 0
     assert P.pack(spark.createDataFrame([(1, "a")], "doc_id long, text string"), spec.limit(0)).count() == 0
+
+
+def test_search_goes_on_beyond_64_partners():
+    # 100 containers of 60 and 30; only the one with most space far down the list can take the last item
+    sizes = [60, 30] * 100 + [15, 7, 8]
+    bins = [[2 * k, 2 * k + 1] for k in range(100)] + [[200], [201, 202]]
+    got = P.local_search(bins, sizes, 100)
+    assert len(got) == 101 and all(sum(sizes[i] for i in b) <= 100 for b in got)
+    rng = random.Random(8)
+    sizes = [rng.randint(34, 66) for _ in range(400)]
+    got = P.local_search(P.best_fit(sizes, 100), sizes, 100)
+    fills = [sum(sizes[i] for i in b) for b in got]
+    # nothing is left to do: no item fits elsewhere, and no exchange for a smaller one does
+    for a, b in enumerate(got):
+        for c, d in enumerate(got):
+            if a != c and 99.5 > fills[c] >= fills[a] and fills[a] < 99.5 and len(got) > -(-sum(sizes) // 100):
+                assert all(sizes[i] > 100 - fills[c] for i in b)
+                assert not any(0 < sizes[i] - sizes[j] <= 100 - fills[c] for i in b for j in d)
+
+
+def test_pieces_of_a_huge_text_need_no_block(spark):
+    df = spark.createDataFrame([(1, "x" * 200_000), (2, "y" * 30)], "doc_id long, text string")
+    got = P.pack(df, spark.createDataFrame([(100,)], "capacity_tokens long"))
+    assert got.where("level = -1").count() == 2000 and got.where("level = -1").select("container").distinct().count() == 2000
+    assert got.where("level = 0").count() == 1
+
+
+def test_one_capacity_more_or_less(spark):
+    df = spark.createDataFrame([(i, "x" * (i % 90 + 1)) for i in range(300)], "doc_id long, text string")
+    caps = spark.range(100, 1200).toDF("capacity_tokens")
+    got = P.items_of(df, caps)
+    assert got.count() == 300 * 1100

@@ -9,6 +9,7 @@ from sheafwork.llm import splitting as S
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abc dé.\n!?́中。ก็ _-", max_size=400), st.integers(1, 40), st.integers(0, 30))
 def test_pieces(text, limit, overlap):
+    overlap = min(overlap, limit - 1)
     got = S.pieces(text, limit, overlap)
     at = 0
     for k, (a, z, n, o) in enumerate(got):
@@ -72,3 +73,13 @@ def test_cohesion_matches_brute_force(n):
         left, right = Counter(units[max(0, k - n) : k]), Counter(units[k : k + n])
         dot = sum(left[w] * right[w] for w in left)
         assert g == pytest.approx(dot / math.sqrt(sum(v * v for v in left.values()) * sum(v * v for v in right.values())))
+
+
+def test_overlap_is_kept_beyond_half_the_limit():
+    text = " ".join(f"w{i}" for i in range(300))
+    for limit, overlap in ((50, 40), (50, 25), (50, 26), (50, 49), (2, 1)):
+        got = S.pieces(text, limit, overlap)
+        assert {o for *_, o in got[1:-1]} == {overlap} and all(n <= limit for _, _, n, _ in got), (limit, overlap)
+    with pytest.raises(ValueError, match="overlap"):
+        S.pieces(text, 50, 50)
+    assert len(S.pieces("a b", 50, 50 - 1)) == 1
