@@ -2,18 +2,18 @@
 
 Plan, for texts of any number:
 
-1. Texts become their words joined by single spaces, inside the JVM. Equal ones form a class;
-   from here on a class is one row, so copies cost nothing further.
+1. Texts become their words joined by single spaces, inside the JVM, and are written once. Equal
+   ones form a class; from here on a class is one row, so copies cost nothing further.
 2. Each class gets one signature of ``bins`` values: every shingle is hashed once, its hash picks
    the bin and the bin keeps the least. An empty bin borrows from a bin chosen by a hash of its
    number and the attempt (optimal densification), so that short texts keep independent bands.
 3. ``rows`` consecutive bins make a band; a band's hash names a bucket. Hubs (the least id) and
    sizes of buckets are a grouped minimum and count, merged before the shuffle, so no bucket is
    ever gathered in one task.
-4. Edges are stars. In a bucket of up to ``turn`` classes each one is the hub of those after it;
-   a larger bucket is one star around its least member, and its members besides go through an
-   exact prefix-filter join, so that nothing is lost to the bound.
-5. Candidates are made distinct and checked on the texts themselves.
+4. Edges are stars: each bucket joins its hub with its other members, whatever its size, so
+   candidates are no more than rows. Two members that aren't the hub may be alike, too: the classes
+   of every bucket with more than two go through an exact prefix-filter join, which loses no pair.
+5. Candidates are made distinct and checked on the hashes of their shingles, in the JVM.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ EMPTY = np.uint64(2**64 - 1)
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 500_000
-#: Copies of one text up to which a class is put out as pairs of all its members; a larger one as pairs with its least member.
-EXPANDED = 64
+#: In lists of pairs each key of a class stands with so many that follow it, and a class with so many of its least keys in links.
+SPAN = 64
 
 
 def words(text):  # noqa: ANN001, ANN201
@@ -133,72 +133,61 @@ def bucket_rows(classes: DataFrame, size: int, bins: int, rows: int) -> DataFram
     return classes.select("id", "norm").mapInArrow(of, "bucket long, id long")
 
 
-def prefix_pairs(classes: DataFrame, size: int, least: float) -> DataFrame:
-    """(``a``, ``b``): every pair of classes that may reach the similarity, by an exact prefix filter.
-
-    Two sets with similarity ``least`` share one of their first n - ceil(least n) + 1
-    shingles under any common order; the order here is rarest first.
-    """
+def shingle_sets(classes: DataFrame, size: int) -> DataFrame:
+    """(``id``, ``s``): the distinct hashes of each class's shingles, in order. ``classes``: ``id``, ``norm``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, int] = {}
         for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            texts = b.column(1).to_pylist()
             h, owner = shingle_hashes(texts, size, kept)
-            u = np.unique(np.stack([owner.astype(np.int64), h.view(np.int64)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[u[:, 0]]), pa.array(u[:, 1])], names=["id", "s"])
+            h = h.view(np.int64)
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            h, owner = h[new], owner[new]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(h))], names=["id", "s"])
+
+    return classes.select("id", "norm").mapInArrow(of, "id long, s array<long>")
 
+
+def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(``a``, ``b``): every pair of classes that may reach the similarity, by an exact prefix filter.
+
+    ``sets``: ``id``, ``s``. Two sets with similarity ``least`` share one of their first n - ceil(least n) + 1
+    shingles under any common order; the order here is rarest first.
+    """
     from pyspark.sql import Window
 
-    sh = classes.select("id", "norm").mapInArrow(of, "id long, s long")
-    df = sh.groupBy("s").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("id")
-    ranked = sh.join(df, "s").withColumn("n", F.count("*").over(w)).withColumn("at", F.row_number().over(w.orderBy("df", "s")))
-    p = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).select("s", "id", "n")
+    sh = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
+    df = sh.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")  # what only one has makes no pair, but ranks first
+    w = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "s")
+    ranked = sh.join(df, "s", "left").withColumn("at", F.row_number().over(w))
+    p = ranked.where(F.col("df").isNotNull() & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1)).select("s", "id", "n")
     a, b = p.alias("a"), p.alias("b")
     near = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(least) - F.lit(1e-9))
     return a.join(b, (F.col("a.s") == F.col("b.s")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def star_edges(rows: DataFrame, classes: DataFrame, size: int, least: float, turn: int) -> DataFrame:
-    """(``a``, ``b``) with a < b, not yet distinct. ``rows``: ``bucket``, ``id``, materialised."""
+def star_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((``a``, ``b``) with a < b, not yet distinct, and the ``id`` of those in buckets of more than two). ``rows``: ``bucket``, ``id``, materialised."""
     hubs = materialize(rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
-    shared = materialize(rows.join(small_enough(hubs), "bucket"), "shared")
-    few = shared.where(F.col("n") <= turn)
-    a, b = few.alias("a"), few.alias("b")
-    edges = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    many = shared.where(F.col("n") > turn)
-    edges = edges.unionByName(many.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    return edges.unionByName(prefix_pairs(classes.join(many.select("id").distinct(), "id", "left_semi"), size, least))
+    shared = materialize(rows.join(small_enough(hubs), "bucket").select("hub", "id", "n"), "shared")
+    return shared.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")), shared.where("n > 2").select("id").distinct()
 
 
-def checked(candidates: DataFrame, classes: DataFrame, size: int, least: float) -> DataFrame:
-    """(``a``, ``b``, ``similarity``) of the candidates that reach ``least``, on the texts' own words."""
+def checked(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(``a``, ``b``, ``similarity``) of the candidates that reach ``least``; ``sets``: ``id``, ``s``."""
     cand = materialize(candidates.distinct(), "candidates")
-    ids = materialize(cand.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    need = classes.select("id", "norm").join(small_enough(ids), "id", "left_semi")
-    need = materialize(need, "texts")
-    j = cand.join(need.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(need.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-
-    def shingles(t: str) -> set:
-        w = t.split(" ")
-        return set(zip(*(w[k:] for k in range(size)), strict=False))
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, set()
-        for b in batches:
-            out = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, of_last = x, shingles(x)
-                s = shingles(y)
-                both = len(of_last & s)
-                out.append(both / max(1, len(of_last) + len(s) - both))
-            sim = np.array(out, dtype=np.float64)
-            ok = pa.array(sim >= least - 1e-12)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(sim).filter(ok)], names=["a", "b", "similarity"])
-
-    return j.select("a", "b", "x", "y").mapInArrow(of, "a long, b long, similarity double")
+    x = sets.select(F.col("id").alias("a"), F.col("s").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    # sizes alone rule many out before the sets are compared
+    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    j = cand.join(x, "a").join(y, "b").where((small >= large * F.lit(least) - F.lit(1e-9)) & (small > 0))
+    both = F.size(F.array_intersect("x", "y"))
+    return j.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 
 
 class NearDuplicates:
@@ -212,18 +201,24 @@ class NearDuplicates:
     0.999999.
     """
 
-    def __init__(self, df: DataFrame, key: str = "key", text: str = "text", shingle: int = 5, similarity: float = 0.8, least_words: int | None = None, bins: int = 180, rows: int = 5, turn: int = 32):
-        self.size, self.least, self.bins, self.rows, self.turn = shingle, similarity, bins, rows, turn
+    def __init__(self, df: DataFrame, key: str = "key", text: str = "text", shingle: int = 5, similarity: float = 0.8, least_words: int | None = None, bins: int = 180, rows: int = 5):
+        self.size, self.least, self.bins, self.rows = shingle, similarity, bins, rows
         base = df.select(F.col(key).alias("key"), words(F.col(text)).alias("norm")).where(F.col("key").isNotNull())
-        self.base = base.where(word_count(F.col("norm")) >= max(shingle, least_words or 0))
-        # the digest is the class; the least key stands for it
-        cls = self.base.groupBy(F.md5("norm").alias("digest")).agg(F.min("key").alias("rep"), F.max("key").alias("last"), F.min("norm").alias("norm"))
+        base = base.where(word_count(F.col("norm")) >= max(shingle, least_words or 0))
+        # the digest is the class; words are found once and written, since classes and members both need them
+        self.base = materialize(base.select("key", F.md5("norm").alias("digest"), "norm"), "words")
+        cls = self.base.groupBy("digest").agg(F.min("key").alias("rep"), F.max("key").alias("last"), F.min("norm").alias("norm"))  # the least key stands for the class
         self.classes = materialize(cls.withColumn("id", F.xxhash64("digest")), "classes")
 
     def links(self) -> DataFrame:
         """(``rep_a``, ``rep_b``, ``similarity``): links between classes, by their representatives."""
         rows = materialize(bucket_rows(self.classes, self.size, self.bins, self.rows), "buckets")
-        ok = materialize(checked(star_edges(rows, self.classes, self.size, self.least, self.turn), self.classes, self.size, self.least), "links")
+        stars, several = star_edges(rows)
+        stars, several = materialize(stars, "stars"), materialize(several, "several")
+        ids = materialize(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        sets = materialize(shingle_sets(self.classes.join(small_enough(ids), "id", "left_semi"), self.size), "sets")
+        exact = prefix_pairs(sets.join(small_enough(several), "id", "left_semi"), self.least)
+        ok = materialize(checked(stars.unionByName(exact), sets, self.least), "links")
         need = materialize(ok.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "linked")
         reps = self.classes.select("id", "rep").join(small_enough(need), "id", "left_semi")
         j = ok.join(reps.select(F.col("id").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("y")), "b")
@@ -231,32 +226,30 @@ class NearDuplicates:
 
     def members(self) -> DataFrame:
         """(``rep``, ``key``) for every row that takes part, once a key."""
-        keys = self.base.select(F.md5("norm").alias("digest"), "key").distinct()
+        keys = self.base.select("digest", "key").distinct()
         return keys.join(self.classes.select("digest", "rep"), "digest").select("rep", "key")
 
     def copies(self) -> DataFrame:
-        """(``rep``, ``key``, ``n``): the members of classes with more than one key."""
+        """(``rep``, ``key``, ``at``): the members of classes with more than one key, numbered by key from 0 within their class."""
         many = materialize(self.classes.where(F.col("rep") != F.col("last")).select("digest", "rep"), "many")
-        keys = self.base.select(F.md5("norm").alias("digest"), "key").join(small_enough(many), "digest").select("rep", "key").distinct()
-        keys = materialize(keys, "copies")
-        return keys.join(small_enough(materialize(keys.groupBy("rep").agg(F.count("*").alias("n")), "sizes")), "rep")
+        keys = self.base.select("digest", "key").join(small_enough(many), "digest").select("rep", "key").distinct()
+        return materialize(numbered(keys, "rep", "key", "at"), "copies")
 
     def pairs(self) -> DataFrame:
         """(``key_a``, ``key_b``): pairs of keys with key_a < key_b.
 
-        Classes of up to ``EXPANDED`` keys come as pairs of all their members. A larger one
-        comes as pairs of its least key with each other one, and its least key alone stands
-        for it in links to other classes; all pairs follow from these.
+        In a class, every key stands with the ``SPAN`` that follow it, so of up to ``SPAN`` + 1 copies all
+        pairs are listed, and of more those that lie no farther apart. Two linked classes stand with
+        the least ``SPAN`` keys of each. All other pairs follow from these; ``groups`` has every key once.
         """
-        copies = materialize(self.copies(), "members")
-        few, many = copies.where(F.col("n") <= EXPANDED), copies.where(F.col("n") > EXPANDED)
-        a, b = few.alias("a"), few.alias("b")
-        own = a.join(b, (F.col("a.rep") == F.col("b.rep")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
-        star = many.where("key <> rep").select(F.least("rep", "key").alias("key_a"), F.greatest("rep", "key").alias("key_b"))
-        side = lambda n: small_enough(few.select(F.col("rep").alias(f"rep_{n}"), F.col("key").alias(f"k_{n}")))
+        copies = self.copies()
+        ahead = copies.select("rep", F.col("key").alias("key_a"), F.explode(F.sequence(F.col("at") + 1, F.col("at") + SPAN)).alias("at"))
+        own = ahead.join(copies, ["rep", "at"]).select("key_a", F.col("key").alias("key_b"))
+        first = materialize(copies.where(F.col("at") < SPAN).select("rep", "key"), "first")
+        side = lambda n: small_enough(first).select(F.col("rep").alias(f"rep_{n}"), F.col("key").alias(f"k_{n}"))
         ln = self.links().join(side("a"), "rep_a", "left").join(side("b"), "rep_b", "left")
         x, y = F.coalesce("k_a", "rep_a"), F.coalesce("k_b", "rep_b")
-        return own.unionByName(star).unionByName(ln.select(F.least(x, y).alias("key_a"), F.greatest(x, y).alias("key_b")))
+        return own.unionByName(ln.select(F.least(x, y).alias("key_a"), F.greatest(x, y).alias("key_b")))
 
     def groups(self) -> DataFrame:
         """(``key``, ``class_id``, ``group_id``, ``links``): one row per key that takes part.
@@ -271,6 +264,24 @@ class NearDuplicates:
         return m.select("key", F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def numbered(df: DataFrame, by: str, order: str, to: str) -> DataFrame:
+    """``df`` with ``to``: the number of each row from 0 within ``by``, in ``order``.
+
+    Rows are ranged by (``by``, ``order``) into parts of bounded size, so that a group with a third of all
+    rows isn't sorted in one task; a row's number is its place in its part and what parts before it have.
+    """
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(max(least, 1), by, order).sortWithinPartitions(by, order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "ranged")  # parts are made once: a second evaluation might cut them elsewhere
+    per = ranged.groupBy(by, "_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    w = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    base = per.select(by, "_p", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return ranged.join(base, [by, "_p"]).withColumn(to, (F.col("_before") + F.col("_i") - F.col("_first")).cast("long")).drop("_p", "_i", "_first", "_before")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(``rep``, ``group_id``): connected components by alternating large and small stars.
 

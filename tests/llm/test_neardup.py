@@ -37,15 +37,29 @@ def test_against_brute_force(spark, corpus):
     assert want and got <= want and len(want - got) <= 0.01 * len(want)
 
 
-def test_large_buckets_take_the_exact_way(spark, corpus):
+def test_every_bucket_is_a_star_and_loses_no_pair(spark, corpus):
     want = {(a, b) for i, (a, x) in enumerate(corpus) for b, y in corpus[i + 1 :] if sim(x, y) >= 0.7}
-    # with one band of one row and no turns, every bucket is large, so all but the stars comes from the prefix filter
-    got = {(r[0], r[1]) for r in N.NearDuplicates(frame(spark, corpus), shingle=3, similarity=0.7, least_words=8, bins=1, rows=1, turn=1).pairs().collect()}
-    assert got <= want
-    full = N.prefix_pairs(N.NearDuplicates(frame(spark, corpus), shingle=3, similarity=0.7).classes, 3, 0.7)
-    ids = {r["id"]: r["rep"] for r in N.NearDuplicates(frame(spark, corpus), shingle=3, similarity=0.7).classes.select("id", "rep").collect()}
+    # the first half of the texts shares one bucket a bin; pairs besides the stars come from the prefix filter
+    few = N.NearDuplicates(frame(spark, corpus), shingle=3, similarity=0.7, least_words=8, bins=12, rows=1)
+    got = {(r[0], r[1]) for r in few.pairs().collect()}
+    assert got <= want and len(want - got) <= 0.02 * len(want)
+    rows = spark.createDataFrame([(b, i) for b in range(3) for i in range(b + 2)], "bucket long, id long")
+    stars, several = N.star_edges(rows)
+    assert stars.count() == 1 + 2 + 3 and {r[0] for r in several.collect()} == {0, 1, 2, 3}
+    classes = few.classes
+    full = N.prefix_pairs(N.shingle_sets(classes, 3), 0.7)
+    ids = {r["id"]: r["rep"] for r in classes.select("id", "rep").collect()}
     pairs = {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in full.collect()}
-    assert {p for p in want if dict(corpus)[p[0]] != dict(corpus)[p[1]]} <= pairs | {(a, b) for a, b in want if a not in ids.values() or b not in ids.values()}
+    reps = set(ids.values())
+    assert {p for p in want if dict(corpus)[p[0]] != dict(corpus)[p[1]] and p[0] in reps and p[1] in reps} <= pairs
+
+
+def test_numbers_of_a_large_group(spark):
+    df = spark.createDataFrame([("a" if i % 3 else "b", f"k{i * 7919 % 1000:04d}") for i in range(1000)], "g string, k string")
+    got = N.numbered(df, "g", "k", "n").collect()
+    for g in "ab":
+        keys = sorted(r["k"] for r in got if r["g"] == g)
+        assert [(r["k"], r["n"]) for r in sorted(got, key=lambda r: r["k"]) if r["g"] == g] == [(k, i) for i, k in enumerate(keys)]
 
 
 def test_words_and_short_texts(spark):
@@ -59,9 +73,11 @@ def test_copies(spark):
     few = [(f"c{i}", "a b c d e f g h") for i in range(4)] + [("near", "a b c d e f g h i")]
     got = {tuple(r) for r in N.NearDuplicates(frame(spark, few), shingle=3, similarity=0.7).pairs().collect()}
     assert len(got) == 6 + 4 and ("c0", "near") in got and ("c3", "near") in got
-    many = [(f"c{i:03d}", "a b c d e f g h") for i in range(N.EXPANDED + 1)] + [("near", "a b c d e f g h i")]
-    got = {tuple(r) for r in N.NearDuplicates(frame(spark, many), shingle=3, similarity=0.7).pairs().collect()}
-    assert got == {("c000", f"c{i:03d}") for i in range(1, N.EXPANDED + 1)} | {("c000", "near")}
+    for n in (N.SPAN, N.SPAN + 1, N.SPAN + 2):  # one form on either side of the span
+        many = [(f"c{i:03d}", "a b c d e f g h") for i in range(n)] + [("near", "a b c d e f g h i")]
+        got = {tuple(r) for r in N.NearDuplicates(frame(spark, many), shingle=3, similarity=0.7).pairs().collect()}
+        own = {(f"c{i:03d}", f"c{j:03d}") for i in range(n) for j in range(i + 1, min(n, i + 1 + N.SPAN))}
+        assert got == own | {(f"c{i:03d}", "near") for i in range(min(n, N.SPAN))}
 
 
 def test_groups(spark):
