@@ -1,23 +1,27 @@
 """The k most similar vectors of every vector: a forest of sorted arrays of long hash strings.
 
 Each tree hashes a vector to a string of hyperplane signs; the tree is the sorted array of all
-strings. Descending to the longest prefix a vector shares with others is its place in the array,
-and ascending, prefix by prefix, widens the stretch around that place, since entries that share
-more of the prefix lie nearer. All trees ascend together, one stretch of ``reach`` entries to
-either side, and what they meet is ranked by distance.
+strings. Descending, a vector finds the longest prefix that it shares with others, in its own
+neighbourhood of the array. Ascending, prefixes are cut shorter, in all trees by the same steps at once, until the
+stretches of entries that share the prefix hold ``candidates`` entries together; these are ranked
+by distance. How many candidates it takes is measured, not assumed.
 
 Plan:
 
-1. Keys with equal vectors are one class. A bounded sample (``sample`` classes) gives each
-   collection its centre and each tree cut points between equal parts of the array. Every class is
-   then indexed, by one vector.
-2. One row per class and tree, with the vector in one byte a component, is shuffled to its part
-   and sorted there. A string ends in bits of the class's hash, other ones in each tree, so that
-   vectors with equal signs meet others in every tree.
-3. A part is read as a stream of blocks; distances within a block are one matrix product. Of each
-   class and tree those go on that can be among the nearest k and within the distance asked for,
+1. Keys with equal vectors are one class. A bounded sample (``sample`` classes) gives the planes, each
+   through a point of the sample, so that dense regions are cut most, and the cut points of each
+   tree's array into parts of about ``PART`` entries. Every class is then indexed, by one vector.
+2. Descent: (tree, part, string) is shuffled and sorted. Every entry learns, for each power of two, the longest
+   prefix that so many entries share. A class's ladder is these lengths over all trees.
+3. Calibration: for ``queries`` classes of each collection the true neighbours are found among all
+   classes. The least number of candidates whose ascent meets the share ``recall`` of them holds for
+   the collection.
+4. Ascent: the ladder gives each class the prefix length at which all trees together
+   offer that many. One row per class and tree, with the vector in one byte a component, is
+   shuffled to its part and sorted there; distances to the stretch with the same prefix are matrix products. Of
+   each class and tree those go on that can be among the nearest k and within the distance asked for,
    whatever error the coding has made.
-4. They are merged over trees and computed again from the stored vectors. The least keys of the
+5. They are merged over trees and computed again from the stored vectors. The least keys of the
    classes met, and of a class itself, are ranked by distance and key: k + 1 are enough for any
    class, since a key leaves out only itself.
 """
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +41,12 @@ from sheafwork.runtime import materialize, small_enough
 
 #: Distance functions and their short names.
 METRICS = {"cosinedistance": "cos", "euclideandistance": "l2", "manhattandistance": "l1"}
-#: Bits of a hash string that come from hyperplanes; the rest of 63 spreads equal vectors.
-SIGN_BITS = 40
-#: Collections whose index parameters the driver may hold.
-MOST_COLLECTIONS = 10_000
-FEWEST_SAMPLED = 256
+#: Bits of a hash string, and how many of them come from hyperplanes; the rest parts vectors with equal signs.
+BITS, SIGN_BITS = 63, 40
+#: Entries of a part of a tree, on average.
+PART = 65_536
+#: Rows and columns of a block of distances.
+BLOCK, COLUMNS = 256, 8192
 
 
 @dataclass(frozen=True)
@@ -55,15 +61,22 @@ class Profile:
 
 @dataclass
 class Index:
-    """A collection's index parameters: number, profile, centre, hyperplanes, cut points per tree."""
+    """A collection's index parameters: number, profile, trees, seed and offsets of the planes, cut points per tree."""
 
     number: int
     profile: Profile
-    centre: np.ndarray
-    planes: np.ndarray
+    trees: int
+    seed: int
+    offsets: np.ndarray
     cuts: np.ndarray
 
 
+@lru_cache(maxsize=64)
+def planes(seed: int, number: int, trees: int, dims: int) -> np.ndarray:
+    """Directions of the hyperplanes of a collection, made where they are needed."""
+    return np.random.default_rng((seed, number)).standard_normal((trees * SIGN_BITS, dims)).astype(np.float32)
+
+
 def matrix(col: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """The usable vectors of a list column and their row numbers: ``dims`` finite numbers, not all zero."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
@@ -90,12 +103,56 @@ def placed(x: np.ndarray, metric: str) -> np.ndarray:
 
 def strings(x: np.ndarray, ids: np.ndarray, ix: Index) -> np.ndarray:
     """(vectors, trees) hash strings as integers: hyperplane signs, then bits of the id."""
-    trees = ix.planes.shape[0]
-    signs = ((x - ix.centre) @ ix.planes.reshape(trees * SIGN_BITS, -1).T > 0).reshape(len(x), trees, SIGN_BITS)
+    w = planes(ix.seed, ix.number, ix.trees, ix.profile.dimensions)
+    signs = (x @ w.T > ix.offsets).reshape(len(x), ix.trees, SIGN_BITS)
     h = signs @ (np.int64(1) << np.arange(SIGN_BITS - 1, -1, -1, dtype=np.int64))
-    odd = np.uint64(0x9E3779B97F4A7C15) * (2 * np.arange(trees, dtype=np.uint64) + np.uint64(1))
-    tail = ((ids.view(np.uint64)[:, None] * odd) >> np.uint64(64 - (63 - SIGN_BITS))).astype(np.int64)
-    return (h << np.int64(63 - SIGN_BITS)) | tail
+    odd = np.uint64(0x9E3779B97F4A7C15) * (2 * np.arange(ix.trees, dtype=np.uint64) + np.uint64(1))
+    tail = ((ids.view(np.uint64)[:, None] * odd) >> np.uint64(64 - (BITS - SIGN_BITS))).astype(np.int64)
+    return (h << np.int64(BITS - SIGN_BITS)) | tail
+
+
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of strings."""
+    x = np.bitwise_xor(a, b)
+    _, e = np.frexp(x.astype(np.float64))  # rounding up to a power of two takes one bit at most, from differing strings
+    e = np.where((x > 0) & ((x >> np.maximum(e - 1, 0).astype(np.int64)) == 0), e - 1, e)
+    return (BITS - np.where(x == 0, 0, e)).astype(np.uint8)
+
+
+def ladders(h: np.ndarray, steps: int) -> np.ndarray:
+    """(entries, steps): the longest prefix that 2**j entries of the sorted array share with each entry; 0 if there aren't so many."""
+    n = len(h)
+    gap = common(h[:-1], h[1:]) if n > 1 else np.empty(0, np.uint8)
+    out = np.zeros((n, steps), np.uint8)
+    out[:, 0] = BITS
+    low = np.full(n, BITS, np.uint8)  # least common prefix of the window of 2**j entries that starts here
+    for j in range(1, steps):
+        half, width = 1 << (j - 1), 1 << j
+        if width > n:
+            break
+        starts = n - width + 1
+        low = np.minimum(np.minimum(low[:starts], low[half : half + starts]), gap[half - 1 : half - 1 + starts])
+        # the best window that holds an entry: a running maximum over the width, by doubling
+        best = np.zeros(n, np.uint8)
+        best[:starts] = low
+        done = 1
+        while done < width:
+            step = min(done, width - done)
+            best[step:] = np.maximum(best[step:], best[:-step].copy())
+            done += step
+        out[:, j] = best
+    return out
+
+
+def ascent(ladder: np.ndarray, candidates: int) -> np.ndarray:
+    """The longest prefix at which all trees together offer ``candidates`` entries. ``ladder``: (classes, trees, steps)."""
+    low, high = np.zeros(len(ladder), np.int64), np.full(len(ladder), BITS, np.int64)
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        offered = (np.int64(1) << np.maximum((ladder >= mid[:, None, None].astype(np.uint8)).sum(axis=2) - 1, 0)).sum(axis=1)
+        ok = offered >= candidates
+        low, high = np.where(ok, mid, low), np.where(ok, high, np.maximum(mid - 1, low))
+    return low.astype(np.uint8)
 
 
 def exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -133,17 +190,14 @@ def margins(x: np.ndarray, coded: np.ndarray, metric: str) -> np.ndarray:
     return np.nextafter(m.astype(np.float32), np.float32(np.inf))
 
 
-def near_in_block(x: np.ndarray, ids: np.ndarray, margin: np.ndarray, first: int, last: int, reach: int, most: int, within: float, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """For rows first..last of a sorted stretch, all that can be among the ``most`` nearest of those ``reach`` to either side.
+def near_in_block(x: np.ndarray, ids: np.ndarray, margin: np.ndarray, first: int, last: int, lo: int, hi: int, inside: np.ndarray, most: int, within: float, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """For rows first..last, all of rows lo..hi (where ``inside``) that can be among the ``most`` nearest of them.
 
     Left out are only rows that aren't within the bound, or that ``most`` others are nearer than, whatever the coding errors are.
     """
-    lo, hi = max(0, first - reach), min(len(x), last + reach)
     d = block_distances(x[first:last], x[lo:hi], metric)
-    i, j = np.arange(first, last)[:, None], np.arange(lo, hi)[None]
-    d[(np.abs(i - j) > reach) | (ids[first:last, None] == ids[None, lo:hi])] = np.inf
     m = margin[first:last, None] + margin[None, lo:hi]
-    ok = np.isfinite(d) & (d - m <= within)
+    ok = inside & (ids[first:last, None] != ids[None, lo:hi]) & (d - m <= within)
     many = np.flatnonzero(ok.sum(axis=1) > most)
     if len(many):
         upper = np.where(ok[many], d[many] + m[many], np.inf)
@@ -152,6 +206,21 @@ def near_in_block(x: np.ndarray, ids: np.ndarray, margin: np.ndarray, first: int
     return ids[first + r], ids[lo + c]
 
 
+def stretches(h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the entries that share ``level`` bits with each entry of a sorted array begin and end."""
+    shift = np.int64(BITS) - level.astype(np.int64)
+    low = (h >> shift) << shift
+    high = low + ((np.int64(1) << shift) - 1)
+    return np.searchsorted(h, low, side="left"), np.searchsorted(h, high, side="right")
+
+
+def nearest_of(q: np.ndarray, x: np.ndarray, metric: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, row numbers) of the k nearest rows of ``x`` for each query."""
+    d = block_distances(q, x, metric)
+    at = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+    return np.take_along_axis(d, at, axis=1), at
+
+
 class Forest:
     """The index over one table and its searches.
 
@@ -162,58 +231,62 @@ class Forest:
     profile with a known distance function. Rows written twice under one key count once; of
     different vectors under one key one counts, always the same.
     Ties are ranked by key. Empty tables give empty results.
+
+    ``candidates`` is the least that a vector's ascent collects over all trees; a collection takes as many
+    more as it needs to meet ``recall`` of the true neighbours of ``queries`` of its vectors. ``measured``
+    has, by collection, the number taken and the share met. Vectors without any structure may need a good part of
+    their collection: no index helps there, and the result is still found.
     """
 
-    def __init__(self, df: DataFrame, profiles: DataFrame, trees: int = 12, reach: int = 96, sample: int = 12_288, bounded: bool = True, seed: int = 7):
-        self.spark, self.trees, self.reach, self.bounded = df.sparkSession, trees, reach, bounded
-        rows = profiles.select("collection", "dimensions", "distance_function", "neighbour_count", *(["neighbour_max_distance"] if bounded else [])).limit(MOST_COLLECTIONS + 1).collect()
-        if len(rows) > MOST_COLLECTIONS:
-            raise ValueError(f"more than {MOST_COLLECTIONS} collections")
+    def __init__(self, df: DataFrame, profiles: DataFrame, trees: int = 10, candidates: int = 2304, recall: float = 0.97, queries: int = 128, sample: int = 12_288, bounded: bool = True, seed: int = 7):
+        self.spark, self.trees, self.least, self.recall, self.queries, self.bounded, self.seed = df.sparkSession, trees, candidates, recall, queries, bounded, seed
+        rows = profiles.select("collection", "dimensions", "distance_function", "neighbour_count", *(["neighbour_max_distance"] if bounded else [])).collect()  # a row per collection
         self.profiles = {
             r[0]: Profile(r[1], METRICS[r[2].strip().lower()], r[3], float(r[4]) if bounded and r[4] is not None else None)
             for r in rows
             if r[0] is not None and r[1] and r[3] and r[2] and r[2].strip().lower() in METRICS
         }
+        self.asked = self.spark.createDataFrame([(n, p.dimensions, p.k) for n, p in self.profiles.items()], "collection string, _dims int, _k int")
         e = df.select("collection", "key", F.col("embedding").cast("array<float>").alias("embedding")).where("key IS NOT NULL")
-        dims = F.coalesce(*[F.when(F.col("collection") == n, p.dimensions) for n, p in self.profiles.items()]) if self.profiles else F.lit(None).cast("int")
         finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-        e = e.where((F.size("embedding") == dims) & finite & F.exists("embedding", lambda v: v != 0))
+        e = e.join(small_enough(self.asked), "collection").where((F.size("embedding") == F.col("_dims")) & finite & F.exists("embedding", lambda v: v != 0))
         self.base = e.select("collection", "key", F.xxhash64("collection", "embedding").alias("id"), "embedding")  # equal vectors have one id
         self.keys = materialize(self.base.groupBy("collection", "key").agg(F.min("id").alias("id"), F.max("id").alias("_other")), "near-keys")
         if not self.keys.where("id <> _other").isEmpty():
             self.base = self.base.join(self.keys.select("collection", "key", "id"), ["collection", "key", "id"], "left_semi").select(*self.base.columns)
-        self.index = self._fit(sample, seed)
-
-    def _sampled(self, keys: DataFrame, most: int):  # noqa: ANN202
-        """The ``most`` classes with the least ids, a sample of all since an id is a hash, by id."""
-        ids = keys.select("collection", "id").distinct().orderBy("id").limit(most)
-        rows = self.base.join(F.broadcast(ids), ["collection", "id"], "left_semi").select("collection", "id", "embedding")
-        return rows.dropDuplicates(["collection", "id"]).orderBy("id").toArrow()
-
-    def _fit(self, sample: int, seed: int) -> dict[str, Index]:
-        got = self._sampled(self.keys, sample) if self.profiles else None
-        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        #: One row per class: ``collection``, ``id``, ``embedding``.
+        self.classes = materialize(self.base.select("collection", "id", "embedding").dropDuplicates(["collection", "id"]), "near-classes")
+        self.sizes = {r[0]: r[1] for r in self.classes.groupBy("collection").count().collect()}
+        self.measured: dict[str, tuple[int, float]] = {}
+        self.index = self._fit(sample)
+
+    def _sampled(self, most: int) -> pa.Table:
+        """About ``most`` classes, each collection by its size but with 256 at least, those with the least ids, which are hashes."""
+        total = max(1, sum(self.sizes.values()))
+        share = [(n, -(2**63) + int(2**64 * min(1.0, max(most / total, 256 / c))) - 1) for n, c in self.sizes.items()]
+        upto = self.spark.createDataFrame(share, "collection string, _upto long")
+        return self.classes.join(small_enough(upto), "collection").where("id <= _upto").select("collection", "id", "embedding").orderBy("collection", "id").toArrow()
+
+    def _fit(self, sample: int) -> dict[str, Index]:
+        got = self._sampled(sample) if self.profiles else None
         out = {}
         for n, (name, p) in enumerate(sorted(self.profiles.items())):
             own = got.filter(pa.compute.equal(got["collection"], name))
-            if len(own) < FEWEST_SAMPLED:
-                own = self._sampled(self.keys.where(F.col("collection") == name), min(sample, 4 * FEWEST_SAMPLED))
             x, rows = matrix(own["embedding"], p.dimensions)
             x, ids = placed(x, p.metric), own["id"].to_numpy()[rows]
-            rng = np.random.default_rng((seed, n))
-            planes = rng.standard_normal((self.trees, SIGN_BITS, p.dimensions)).astype(np.float32)
-            centre = np.median(x, axis=0).astype(np.float32) if len(x) else np.zeros(p.dimensions, np.float32)
-            ix = Index(n, p, centre, planes, np.empty((self.trees, 0), np.int64))
+            ix = Index(n, p, self.trees, self.seed, np.zeros(self.trees * SIGN_BITS, np.float32), np.empty((self.trees, 0), np.int64))
             if len(x):
+                w = planes(self.seed, n, self.trees, p.dimensions)
+                through = x[np.random.default_rng((self.seed, n, 1)).integers(0, len(x), len(w))]
+                ix.offsets = (w * through).sum(axis=1).astype(np.float32)
                 h = np.sort(strings(x, ids, ix), axis=0)
-                # where the sample is all there is, a part holds several stretches at least
-                most = parts if len(got) == sample else max(1, min(parts, len(x) // (4 * self.reach)))
-                ix.cuts = h[(np.arange(1, most) * len(h)) // most].T.copy()
+                parts = max(1, min(len(x), round(self.sizes[name] / PART)))
+                ix.cuts = h[(np.arange(1, parts) * len(h)) // parts].T.copy()
             out[name] = ix
         return out
 
-    def _entries(self) -> DataFrame:
-        """One row per class and tree: its part, hash string, id, components in a byte each, their scale and margin."""
+    def _entries(self, classes: DataFrame, vectors: bool) -> DataFrame:
+        """One row per class and tree: its part, hash string and id and, with ``vectors``, its level, components in a byte each, their scale and margin."""
         index = self.index
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,62 +301,161 @@ class Forest:
                         continue
                     x, i = placed(x, ix.profile.metric), ids[own[rows]]
                     h = strings(x, i, ix)
-                    scale = np.abs(x).max(axis=1) / 127
-                    code = np.rint(x / np.maximum(scale, np.float32(1e-38))[:, None]).astype(np.int8)
-                    margin = pa.array(margins(x, code.astype(np.float32) * scale[:, None], ix.profile.metric))
-                    code = pa.array([c.tobytes() for c in code], pa.binary())
-                    for t in range(h.shape[1]):
+                    more: list[pa.Array] = []
+                    if vectors:
+                        scale = np.abs(x).max(axis=1) / 127
+                        code = np.rint(x / np.maximum(scale, np.float32(1e-38))[:, None]).astype(np.int8)
+                        margin = pa.array(margins(x, code.astype(np.float32) * scale[:, None], ix.profile.metric))
+                        more = [b.column(3).take(pa.array(own[rows])), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale.astype(np.float32)), margin]
+                    for t in range(ix.trees):
                         part = np.searchsorted(ix.cuts[t], h[:, t], side="right").astype(np.int32)
-                        tree = np.full(len(x), ix.number * len(ix.planes) + t, np.int32)
-                        cols = [pa.array(tree), pa.array(part), pa.array(h[:, t]), pa.array(i), code, pa.array(scale.astype(np.float32)), margin]
-                        yield pa.RecordBatch.from_arrays(cols, names=["tree", "part", "h", "id", "code", "scale", "margin"])
+                        tree = np.full(len(x), ix.number * ix.trees + t, np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(part), pa.array(h[:, t]), pa.array(i), *more], names=["tree", "part", "h", "id", *(["level", "code", "scale", "margin"] if vectors else [])])
+
+        cols = ["collection", "id", "embedding", *(["level"] if vectors else [])]
+        out = classes.select(*cols).mapInArrow(of, "tree int, part int, h long, id long" + (", level int, code binary, scale float, margin float" if vectors else ""))
+        # partitions follow the data: about two parts each
+        n = max(1, -(-sum(self.sizes.values()) * self.trees // (2 * PART)))
+        return out.repartition(max(n, min(self.trees * max(1, len(self.sizes)), self.spark.sparkContext.defaultParallelism)), "tree", "part").sortWithinPartitions("tree", "part", "h", "id")
+
+    @staticmethod
+    def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The rows of each (tree, part), which come in order."""
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            run = b.column(0).to_numpy().astype(np.int64) * (1 << 31) + b.column(1).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(run)) + 1), len(run)] if len(run) else [0]
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                if run[lo] != last and held:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                last = run[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def descent(self) -> DataFrame:
+        """(``id``, ``ladder``): of each class, tree by tree, the longest prefixes that 1, 2, 4, ... entries share with it, a byte each."""
+        steps, trees, runs = self._steps(), self.trees, self._runs
 
-        classes = self.base.select("collection", "id", "embedding").dropDuplicates(["collection", "id"])
-        return classes.mapInArrow(of, "tree int, part int, h long, id long, code binary, scale float, margin float")
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in runs(batches):
+                rungs = ladders(t["h"].to_numpy(), steps)
+                tree = pa.array(np.full(len(t), int(t["tree"][0].as_py()) % trees, np.int32))
+                yield pa.RecordBatch.from_arrays([t["id"].combine_chunks() if t["id"].num_chunks > 1 else t["id"].chunk(0), tree, pa.array([r.tobytes() for r in rungs], pa.binary())], names=["id", "tree", "rungs"])
+
+        e = self._entries(self.classes, False).mapInArrow(of, "id long, tree int, rungs binary")
+        g = e.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("tree", "rungs"))).alias("_l"))  # one entry a tree
+        return g.select("id", F.expr("unhex(array_join(transform(_l, x -> hex(x.rungs)), ''))").alias("ladder"))
+
+    def _steps(self) -> int:
+        return max(2, int(max(self.sizes.values(), default=1)).bit_length() + 1)
+
+    def _true(self) -> dict[str, list[tuple[int, np.ndarray, list[np.ndarray]]]]:
+        """By collection: sampled classes, their strings and those of their true neighbours, found among all classes."""
+        most = max(4, min(self.queries, 4096 // max(1, len(self.sizes))))
+        share = [(n, -(2**63) + int(2**64 * min(1.0, most / c)) - 1) for n, c in self.sizes.items()]
+        upto = self.spark.createDataFrame(share, "collection string, _upto long")
+        got = self.classes.join(small_enough(upto), "collection").where("id <= _upto").select("collection", "id", "embedding").toArrow()
+        asked, out = {}, {}
+        for name, ix in self.index.items():
+            own = got.filter(pa.compute.equal(got["collection"], name))
+            x, rows = matrix(own["embedding"], ix.profile.dimensions)
+            if len(x):
+                asked[name] = (own["id"].to_numpy()[rows], placed(x, ix.profile.metric))
+                h = strings(asked[name][1], asked[name][0], ix)
+                out[name] = {int(i): (h[r], []) for r, i in enumerate(asked[name][0])}
+        index = self.index
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                names = np.array(b.column(0).to_pylist(), dtype=object)
+                for name in set(names.tolist()) & set(asked):
+                    ix, (qi, q), own = index[name], asked[name], np.flatnonzero(names == name)
+                    p = ix.profile
+                    x, rows = matrix(b.column(2).take(pa.array(own)), p.dimensions)
+                    if not len(x):
+                        continue
+                    x, ids = placed(x, p.metric), b.column(1).to_numpy(zero_copy_only=False)[own[rows]]
+                    d, at = nearest_of(q, x, p.metric, p.k + 1)
+                    within = np.inf if p.within is None else np.sqrt(2 * max(p.within, 0)) if p.metric == "cos" else p.within
+                    r, c = np.nonzero((d <= within) & (ids[at] != qi[:, None]))
+                    h = strings(x[at[r, c]], ids[at[r, c]], ix)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(r), pa.string()), pa.array(qi[r]), pa.array(d[r, c].astype(np.float64)), pa.array(ids[at[r, c]]), pa.array(h.tolist(), pa.list_(pa.int64()))], names=["collection", "q", "d", "c", "h"])
+
+        near = self.classes.mapInArrow(of, "collection string, q long, d double, c long, h array<long>").join(small_enough(self.asked), "collection")
+        w = Window.partitionBy("collection", "q").orderBy("d", "c")  # few rows a query and batch
+        for r in near.withColumn("_n", F.row_number().over(w)).where("_n <= _k").select("collection", "q", "h").collect():
+            out[r[0]][r[1]][1].append(np.array(r[2], np.int64))
+        return {n: [(i, h, near) for i, (h, near) in q.items() if near] for n, q in out.items()}
+
+    def _calibrated(self, ladder: DataFrame) -> dict[str, int]:
+        """By collection the least number of candidates, a power of two times ``candidates``, that meets the share ``recall`` of the true neighbours."""
+        true = self._true()
+        ids = [(i,) for q in true.values() for i, _, _ in q]
+        rungs = {}
+        if ids:
+            few = self.spark.createDataFrame(ids, "id long").distinct()
+            rungs = {r[0]: r[1] for r in ladder.join(small_enough(few), "id", "left_semi").collect()}  # of the sampled classes
+        out = {}
+        for name in self.index:
+            q, taken, met = true.get(name, []), self.least, 1.0
+            if q:
+                lad = np.stack([np.frombuffer(rungs[i], np.uint8).reshape(self.trees, -1) for i, _, _ in q])
+                shared = [np.array([common(h, n).max() for n in near]) for _, h, near in q]
+                while True:
+                    level = ascent(lad, taken)
+                    hit = [(s >= lv).sum() for s, lv in zip(shared, level, strict=True)]
+                    met = float(sum(hit) / sum(len(s) for s in shared))
+                    if met >= self.recall or not level.any():
+                        break
+                    taken *= 2
+            out[name] = taken
+            self.measured[name] = (taken, met)
+        return out
 
     def candidates(self) -> DataFrame:
-        """(``q``, ``c``): what the trees' stretches offer each class, all that can be nearest by the coded distances and their margins."""
-        trees, reach = self.trees, self.reach
-        of_tree = {ix.number: ix.profile for ix in self.index.values()}
+        """(``q``, ``c``): what the ascent meets for each class, all that can be nearest by the coded distances and their margins."""
+        ladder = materialize(self.descent(), "near-ladders")
+        taken = self._calibrated(ladder)
+        number = self.spark.createDataFrame(list(taken.items()), "collection string, _taken long")
+        trees, runs = self.trees, self._runs
 
-        def stretch(x: np.ndarray, ids: np.ndarray, margin: np.ndarray, p: Profile, first: int, last: int) -> Iterator[pa.RecordBatch]:
-            within = np.inf if p.within is None else np.sqrt(2 * max(p.within, 0)) if p.metric == "cos" else p.within
-            for lo in range(first, last, 256):
-                q, c = near_in_block(x, ids, margin, lo, min(last, lo + 256), reach, p.k, within, p.metric)
-                if len(q):
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c)], names=["q", "c"])
+        def of_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not len(b):
+                    continue
+                lad = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(b), trees, -1)
+                m = b.column(4).to_numpy(zero_copy_only=False)
+                level = np.zeros(len(b), np.int32)
+                for t in np.unique(m):
+                    level[m == t] = ascent(lad[m == t], int(t))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(level)], names=["collection", "id", "embedding", "level"])
+
+        leveled = self.classes.join(small_enough(ladder), "id").join(small_enough(number), "collection")
+        leveled = leveled.select("collection", "id", "embedding", "ladder", "_taken").mapInArrow(of_level, "collection string, id long, embedding array<float>, level int")
+        of_tree = {ix.number: ix.profile for ix in self.index.values()}
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree, p, x, ids, margin, done = None, None, None, None, None, 0
-            for b in batches:
-                ts = b.column(0).to_numpy()
-                # runs of one (tree, part): the stretch goes on over batches
-                run = ts.astype(np.int64) * (1 << 31) + b.column(1).to_numpy()
-                cut = [0, *(np.flatnonzero(np.diff(run)) + 1), len(run)] if len(run) else [0]
-                for lo, hi in zip(cut, cut[1:], strict=False):
-                    at = int(run[lo])
-                    if at != tree:
-                        if x is not None:
-                            yield from stretch(x, ids, margin, p, done, len(x))
-                        tree, p, x, ids, margin, done = at, of_tree[int(ts[lo]) // trees], None, None, None, 0
-                    part = b.slice(lo, hi - lo)
-                    new_ids = part.column(3).to_numpy()
-                    code = np.frombuffer(b"".join(part.column(4).to_pylist()), np.int8).reshape(-1, p.dimensions)
-                    new = code.astype(np.float32) * part.column(5).to_numpy()[:, None]
-                    twice = np.append(False if ids is None else new_ids[0] == ids[-1], new_ids[1:] == new_ids[:-1])
-                    new, new_ids, new_margin = new[~twice], new_ids[~twice], part.column(6).to_numpy()[~twice]
-                    x = new if x is None else np.concatenate([x, new])
-                    ids = new_ids if ids is None else np.concatenate([ids, new_ids])
-                    margin = new_margin if margin is None else np.concatenate([margin, new_margin])
-                    upto = max(done, len(x) - reach)
-                    yield from stretch(x, ids, margin, p, done, upto)
-                    drop = max(0, upto - reach)
-                    x, ids, margin, done = x[drop:], ids[drop:], margin[drop:], upto - drop
-            if x is not None:
-                yield from stretch(x, ids, margin, p, done, len(x))
-
-        e = self._entries().repartition("tree", "part").sortWithinPartitions("tree", "part", "h", "id")
-        return e.select("tree", "part", "h", "id", "code", "scale", "margin").mapInArrow(of, "q long, c long").distinct()
+            for t in runs(batches):
+                p = of_tree[int(t["tree"][0].as_py()) // trees]
+                within = np.inf if p.within is None else np.sqrt(2 * max(p.within, 0)) if p.metric == "cos" else p.within
+                h, ids, margin = t["h"].to_numpy(), t["id"].to_numpy(), t["margin"].to_numpy()
+                code = np.frombuffer(b"".join(t["code"].to_pylist()), np.int8).reshape(-1, p.dimensions)
+                x = code.astype(np.float32) * t["scale"].to_numpy()[:, None]
+                begin, end = stretches(h, t["level"].to_numpy())
+                for first in range(0, len(x), BLOCK):
+                    last = min(len(x), first + BLOCK)
+                    for lo in range(int(begin[first:last].min()), int(end[first:last].max()), COLUMNS):
+                        hi = min(lo + COLUMNS, int(end[first:last].max()))
+                        col = np.arange(lo, hi)[None]
+                        inside = (col >= begin[first:last, None]) & (col < end[first:last, None])
+                        q, c = near_in_block(x, ids, margin, first, last, lo, hi, inside, p.k, within, p.metric)
+                        if len(q):
+                            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c)], names=["q", "c"])
+
+        return self._entries(leveled, True).mapInArrow(of, "q long, c long").distinct()
 
     def neighbours(self) -> DataFrame:
         """(``collection``, ``key``, ``neighbour``, ``distance``, ``rank``): each vector's k nearest, within the bound if there is one."""
@@ -292,8 +464,7 @@ class Forest:
         several = self.keys.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("q"), F.col("id").alias("c"))
         pairs = materialize(cand.unionByName(several), "near-pairs")
         ids = materialize(pairs.select(F.explode(F.array("q", "c")).alias("id")).distinct(), "near-ids")
-        need = self.base.join(small_enough(ids), "id", "left_semi").select("collection", "id", "embedding")
-        need = materialize(need.dropDuplicates(["collection", "id"]), "near-vectors")
+        need = materialize(self.classes.join(small_enough(ids), "id", "left_semi"), "near-vectors")
         side = lambda n: need.select(F.col("id").alias(n), F.col("collection").alias(f"{n}_col"), F.col("embedding").alias(f"{n}_v"))
         j = pairs.join(side("q"), "q").join(side("c"), "c").where("q_col = c_col").select("q_col", "q", "c", "q_v", "c_v")
 
@@ -319,10 +490,9 @@ class Forest:
         best = Window.partitionBy("collection", "q").orderBy("distance", "key")
         met = met.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most)
         lists = met.groupBy("collection", F.col("q").alias("id")).agg(F.sort_array(F.collect_list(F.struct("distance", F.col("key").alias("neighbour")))).alias("near"))
-        lists = materialize(lists, "near-lists")
-        k = F.coalesce(*[F.when(F.col("collection") == n, ix.profile.k) for n, ix in index.items()]) if index else F.lit(0)
+        lists = materialize(lists.join(small_enough(self.asked), "collection"), "near-lists")
         own = self.keys.select("collection", "id", "key").join(small_enough(lists), ["collection", "id"])
-        others = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("key")), F.lit(1), k)
+        others = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("key")), F.lit(1), F.col("_k"))
         return own.select("collection", "key", F.posexplode(others).alias("_i", "x")).select("collection", "key", "x.neighbour", "x.distance", (F.col("_i") + 1).alias("rank"))
 
 

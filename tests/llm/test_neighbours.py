@@ -87,3 +87,46 @@ def test_empty_and_extra_columns(spark):
 def test_exact_distances():
     a, b = np.array([[3.0, 4.0]], np.float32), np.array([[0.0, 4.0]], np.float32)
     assert N.exact(a, b, "l2")[0] == 3 and N.exact(a, b, "l1")[0] == 3 and N.exact(a, b, "cos")[0] == pytest.approx(0.2)
+
+
+def test_strings_of_many_lengths():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 2**63 - 1, 500, dtype=np.int64)
+    b = a ^ (np.int64(1) << rng.integers(0, 62, 500))
+    bits = lambda v: format(v, "063b")
+    want = [next((k for k in range(63) if bits(x)[k] != bits(y)[k]), 63) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert N.common(a, b).tolist() == want and N.common(a, a).tolist() == [63] * 500
+    assert N.common(np.array([2**62 - 1]), np.array([0])).tolist() == [1]
+
+
+def test_ladders_and_ascent_against_brute_force():
+    rng = np.random.default_rng(4)
+    h = np.sort(rng.integers(0, 2**63 - 1, 300, dtype=np.int64) >> 40 << 40 | rng.integers(0, 2**20, 300))
+    lad = N.ladders(h, 10)
+    shared = np.stack([N.common(np.full(300, x), h) for x in h])
+    for j in range(1, 10):
+        want = [np.sort(r)[::-1][(1 << j) - 1] if (1 << j) <= 300 else 0 for r in shared]
+        assert lad[:, j].tolist() == want, j
+    begin, end = N.stretches(h, lad[:, 4])
+    assert (end - begin >= 16).all() and [(r >= lv).sum() for r, lv in zip(shared, lad[:, 4], strict=True)] == (end - begin).tolist()
+    two = np.stack([lad, lad[::-1]], axis=1)
+    for m in (1, 2, 7, 100, 5000):
+        got = N.ascent(two, m)
+        for i in (0, 50, 299):
+            offered = lambda lv, i=i: sum(1 << ((two[i, t] >= lv).sum() - 1) for t in range(2))
+            assert offered(got[i]) >= min(m, offered(0)) and (got[i] == 63 or offered(got[i] + 1) < m)
+
+
+@pytest.mark.parametrize("kind", ["tight", "unstructured"])
+def test_recall_without_a_bound_or_structure(spark, kind):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 64)).astype(np.float32)
+    x = (10 * rng.standard_normal(64) + 0.05 * x).astype(np.float32) if kind == "tight" else x
+    keys = [f"k{i:04d}" for i in range(len(x))]
+    df = spark.createDataFrame([("c", k, v.tolist()) for k, v in zip(keys, x, strict=True)], "collection string, key string, embedding array<float>")
+    f = N.Forest(df, spark.createDataFrame([("c", 64, "EuclideanDistance", 10, None)], PROFILE), bounded=False)
+    got = {(r["key"], r["neighbour"]) for r in f.neighbours().collect()}
+    d = ((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * (x.astype(np.float64) @ x.T.astype(np.float64)))
+    np.fill_diagonal(d, np.inf)
+    want = {(keys[i], keys[j]) for i in range(len(x)) for j in np.argpartition(d[i], 10)[:10]}
+    assert len(want & got) / len(want) >= 0.93 and f.measured["c"][1] >= 0.97
