@@ -10,9 +10,9 @@ Plan, for texts of any number:
 3. ``rows`` consecutive bins make a band; a band's hash names a bucket. Hubs (the least id) and
    sizes of buckets are a grouped minimum and count, merged before the shuffle, so no bucket is
    ever gathered in one task.
-4. Edges are stars: each bucket joins its hub with its other members, whatever its size, so
-   candidates are no more than rows. Two members that aren't the hub may be alike, too: the classes
-   of every bucket with more than two go through an exact prefix-filter join, which loses no pair.
+4. Edges are stars: the ``hubs`` least members of each bucket, whatever its size, are each joined with
+   the members after them, so candidates grow with the rows. Two members that aren't hubs may be
+   alike, too: those of all buckets go through an exact prefix-filter join, which loses no pair.
 5. Candidates are made distinct and checked on the hashes of their shingles, in the JVM.
 """
 
@@ -171,11 +171,18 @@ def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
     return a.join(b, (F.col("a.s") == F.col("b.s")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def star_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((``a``, ``b``) with a < b, not yet distinct, and the ``id`` of those in buckets of more than two). ``rows``: ``bucket``, ``id``, materialised."""
-    hubs = materialize(rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
-    shared = materialize(rows.join(small_enough(hubs), "bucket").select("hub", "id", "n"), "shared")
-    return shared.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")), shared.where("n > 2").select("id").distinct()
+def star_edges(rows: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """((``a``, ``b``) with a < b, not yet distinct, and the ``id`` of those that share a bucket without being its hubs). ``rows``: ``bucket``, ``id``, materialised."""
+    from pyspark.sql import Window
+
+    met = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "met")
+    shared = materialize(rows.join(small_enough(met), "bucket"), "shared")
+    # the limit on the rank is applied in every task before rows move, so no bucket is sorted as a whole
+    first = shared.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).where(F.col("at") <= hubs)
+    first = materialize(first.select("bucket", F.col("id").alias("hub"), "at"), "hubs")
+    edges = shared.join(small_enough(first), "bucket").where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    last = small_enough(materialize(first.where(F.col("at") == hubs).select("bucket", "hub"), "last"))
+    return edges, shared.where(F.col("n") > hubs + 1).join(last, "bucket").where("id > hub").select("id").distinct()
 
 
 def checked(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -201,8 +208,8 @@ class NearDuplicates:
     0.999999.
     """
 
-    def __init__(self, df: DataFrame, key: str = "key", text: str = "text", shingle: int = 5, similarity: float = 0.8, least_words: int | None = None, bins: int = 180, rows: int = 5):
-        self.size, self.least, self.bins, self.rows = shingle, similarity, bins, rows
+    def __init__(self, df: DataFrame, key: str = "key", text: str = "text", shingle: int = 5, similarity: float = 0.8, least_words: int | None = None, bins: int = 180, rows: int = 5, hubs: int = 16):
+        self.size, self.least, self.bins, self.rows, self.hubs = shingle, similarity, bins, rows, hubs
         base = df.select(F.col(key).alias("key"), words(F.col(text)).alias("norm")).where(F.col("key").isNotNull())
         base = base.where(word_count(F.col("norm")) >= max(shingle, least_words or 0))
         # the digest is the class; words are found once and written, since classes and members both need them
@@ -213,7 +220,7 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         """(``rep_a``, ``rep_b``, ``similarity``): links between classes, by their representatives."""
         rows = materialize(bucket_rows(self.classes, self.size, self.bins, self.rows), "buckets")
-        stars, several = star_edges(rows)
+        stars, several = star_edges(rows, self.hubs)
         stars, several = materialize(stars, "stars"), materialize(several, "several")
         ids = materialize(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         sets = materialize(shingle_sets(self.classes.join(small_enough(ids), "id", "left_semi"), self.size), "sets")

@@ -40,12 +40,13 @@ def test_against_brute_force(spark, corpus):
 def test_every_bucket_is_a_star_and_loses_no_pair(spark, corpus):
     want = {(a, b) for i, (a, x) in enumerate(corpus) for b, y in corpus[i + 1 :] if sim(x, y) >= 0.7}
     # the first half of the texts shares one bucket a bin; pairs besides the stars come from the prefix filter
-    few = N.NearDuplicates(frame(spark, corpus), shingle=3, similarity=0.7, least_words=8, bins=12, rows=1)
+    few = N.NearDuplicates(frame(spark, corpus), shingle=3, similarity=0.7, least_words=8, bins=12, rows=1, hubs=1)
     got = {(r[0], r[1]) for r in few.pairs().collect()}
     assert got <= want and len(want - got) <= 0.02 * len(want)
     rows = spark.createDataFrame([(b, i) for b in range(3) for i in range(b + 2)], "bucket long, id long")
-    stars, several = N.star_edges(rows)
-    assert stars.count() == 1 + 2 + 3 and {r[0] for r in several.collect()} == {0, 1, 2, 3}
+    for hubs, edges, rest in ((1, 1 + 2 + 3, {1, 2, 3}), (2, 1 + 3 + 5, {2, 3}), (3, 1 + 3 + 6, set()), (9, 1 + 3 + 6, set())):
+        stars, several = N.star_edges(rows, hubs)
+        assert stars.count() == edges and {r[0] for r in several.collect()} == rest, hubs
     classes = few.classes
     full = N.prefix_pairs(N.shingle_sets(classes, 3), 0.7)
     ids = {r["id"]: r["rep"] for r in classes.select("id", "rep").collect()}
