@@ -1,11 +1,13 @@
 """Markup residue: which elements a text marks in HTML, Markdown, wiki or LaTeX, and its clean text.
 
-Two steps. ``template_tokens`` deduces templates over the records of one source, as pages of one
+Three steps. ``template_tokens`` deduces templates over the records of one source, as pages of one
 host: tag tokens with the same occurrence vector (the same number in every record) form an
 equivalence class, and a class is valid if its tokens nest, an opening one always before
-its closing one. So names in angle brackets that no known language has, but that behave
-as tags, are told from placeholders. What the tokens leave over, the slots, is
-the text; ``parse`` reads each record with the known languages' tags and the deduced ones,
+its closing one. Valid classes are nested: a class lies in another if it stands inside that one's tokens in every record
+that has it. ``slots`` takes a record apart by its source's template: what its tokens leave over, with the path of
+tags around it. So names in angle brackets that no known language has, but that behave
+as tags in their source, are told from placeholders, and names that are words besides from words. The template says nothing of
+marks without tags, nor what a tag marks: ``parse`` reads each record with its source's template and the known languages,
 checks every sign where it stands, and turns it into plain text in which headings, lists, code, formulas and
 tables have one spelling.
 """
@@ -18,10 +20,12 @@ from collections.abc import Iterator
 from html.entities import html5
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafwork.runtime import materialize, small_enough
+
 #: Names of tags by what they mark.
 CODE_TAGS = "pre code source syntaxhighlight tt kbd samp nowiki"
 LIST_TAGS = "ul ol li dl dt dd menu dir"
@@ -58,11 +62,11 @@ CODE_ENV = re.compile(rf"\\begin\{{((?:{CODE_ENVIRONMENTS})\*?)\}}(.*?)\\end\{{\
 MATH_ENV = re.compile(rf"\\begin\{{((?:{MATH_ENVIRONMENTS})\*?)\}}(.*?)\\end\{{\1\}}", re.S)
 VERB = re.compile(r"\\(?:verb\*?|lstinline)([^\w\s{*])([^\n]*?)\1")
 DISPLAY = re.compile(r"\$\$([^$]+?)\$\$")
-DOLLAR = re.compile(r"\$(?=[^\s$])((?:[^$\n]|\n(?!\s*\n)){1,400}?)(?<=[^\s\\])\$(?![\w$])")
+DOLLAR = re.compile(r"\$(?=[^\s$])((?:[^$\n]|\n(?!\s*\n))+?)(?<=[^\s\\])\$(?![\w$])")
 BRACKETED = re.compile(r"\\\[((?:(?!\\\[)[^\n]|\n(?!\s*\n))+?)\\\]")
 IN_LINE = re.compile(r"\\\(([^\n]+?)\\\)")
 TEX_SIGN = re.compile(r"\\(?:begin\{|end\{|item\b|cite|ref\{|emph\{|text[a-z]+\{|href\{|noindent\b|[a-z]*section\*?\{|chapter\*?\{|paragraph\{)")
-HINT = re.compile(r"[<\\*_#|`$&{\[~=']|^[ \t]*(?:[-+]|\d{1,3}[.)])[ \t]|^-{3,}", re.M)
+HINT = re.compile(r"[<\\*_#|`$&{\[~=']|^[ \t]*(?:[-+]|\d{1,9}[.)])[ \t]|^-{3,}", re.M)
 MATHLIKE = re.compile(r"[\\^_=+<>/]|\b[a-zA-Z]\b")
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b((?:\s[^<>]*)?)(/?)>")
 HTML_HEADING = re.compile(r"<h([1-6])\b[^<>]*>(.*?)(?:</h[1-6]\s*>|$)", re.S | re.I)
@@ -71,7 +75,7 @@ UNDERLINE = re.compile(r"\n[ \t]{0,3}(={3,}|-{3,})[ \t]*(?=\n|\Z)")
 NO_TITLE = re.compile(r"[ \t]*(?:[|>#*+]|-[ \t]|\d+[.)][ \t]|$)")
 WIKI_HEADING = re.compile(r"^(={1,6})[ \t]*([^=\s](?:[^\n]*?[^=\s])?)[ \t]*\1[ \t]*$", re.M)
 TEX_HEADING = re.compile(rf"(?<![\w:\\])\\({HEADING_COMMANDS})\*?[ \t]*(?:\[[^\]\n]*\])?\{{([^{{}}\n]*(?:\{{[^{{}}\n]*\}}[^{{}}\n]*)*)\}}")
-BULLET = re.compile(r"^([ \t]*)(?:([*+-])[ \t]+(?:\[[ xX]\][ \t]+)?|(\d{1,3})[.)][ \t]+)(?=\S)")
+BULLET = re.compile(r"^([ \t]*)(?:([*+-])[ \t]+(?:\[[ xX]\][ \t]+)?|(\d{1,9})[.)][ \t]+)(?=\S)")
 WIKI_ITEM = re.compile(r"^([*#:;]+)[ \t]*(?=[^\s*#:;])")
 RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$")
 ROW = re.compile(r"^[ \t]*\|(?![-}+]).*\|[ \t]*$")
@@ -104,8 +108,9 @@ EMPHASIS = [
 ]
 BOLD_TIGHT = re.compile(rf"(?<![*\\])(\*\*)(?=[^\s*])({_run}+?)(?<=[^\s*\\])\1(?!\*)")
 PRIVATE = re.compile("\ue000(\\d+)\ue001")
-#: Tags that the deduction may add at most; more would be a sign of something else in the brackets.
-MOST_NAMES = 10_000
+#: Tag tokens, for Java and for Python.
+TOKEN_JAVA = r"</?([a-zA-Z][a-zA-Z0-9]*)(?=[\s/>])"
+TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)(?=[\s/>])[^<>]*>")
 
 KIND: dict[str, str] = {}
 for _kind, _names in (("inline", INLINE_TAGS), ("code", CODE_TAGS), ("list", LIST_TAGS), ("table", TABLE_TAGS), ("formula", MATH_TAGS), ("heading", "h1 h2 h3 h4 h5 h6")):
@@ -132,6 +137,13 @@ class Record:
             self.found.add(kind)
             self.w = w
 
+    def all(self, pattern: re.Pattern, to) -> None:  # noqa: ANN001
+        """The same from the innermost outwards, until nothing is left of it; each time the text gets shorter."""
+        was = None
+        while was != self.w:
+            was = self.w
+            self.sub(pattern, to)
+
     # -- code, formulas, comments: nothing inside them counts
 
     def protect(self) -> None:
@@ -204,7 +216,7 @@ class Record:
     def languages(self) -> None:
         w = self.w
         self.wiki = bool("[[" in w and WIKI_LINK.search(w)) or bool("''" in w and QUOTES.search(w)) or "{|" in w or bool(MAGIC.search(w)) or bool("{{" in w and TEMPLATE.search(w)) or bool("==" in w and WIKI_HEADING.search(w)) or bool(re.search(r"<ref\b", w))
-        self.markdown = bool(LINK.search(w)) or bool(re.search(r"^ {0,3}(?:- \[[ xX]\]|\+ |\d{1,3}[.)] )|\[\^\w+\]|~~\w|^\|[ :-]+\|", w, re.M)) or bool(BOLD_TIGHT.search(w)) or any(True for _ in self.underlined())
+        self.markdown = bool(LINK.search(w)) or bool(re.search(r"^ {0,3}(?:- \[[ xX]\]|\+ |\d{1,9}[.)] )|\[\^\w+\]|~~\w|^\|[ :-]+\|", w, re.M)) or bool(BOLD_TIGHT.search(w)) or any(True for _ in self.underlined())
 
     def tags(self) -> None:
         if "<" not in self.w:
@@ -214,8 +226,10 @@ class Record:
         def known(m: re.Match) -> str | None:
             name = m.group(2).lower()
             kind = KIND.get(name)
+            if name in self.names:  # the source's template has it
+                return kind or "inline"
             if kind is None:
-                return "inline" if name in self.names else None
+                return None
             if name in WORDLIKE and not (m.group(1) or m.group(3).strip() or m.group(4) or name in closed):
                 return None
             return kind
@@ -364,7 +378,7 @@ class Record:
 
     def lines(self) -> None:
         """Number signs, bullets and numbers at a line's start."""
-        if not re.search(r"^[ \t]*(?:[*+#:;-]|\d{1,3}[.)][ \t])", self.w, re.M):
+        if not re.search(r"^[ \t]*(?:[*+#:;-]|\d{1,9}[.)][ \t])", self.w, re.M):
             return
         lines = self.w.split("\n")
         out: list[str] = []
@@ -383,6 +397,10 @@ class Record:
                 continue
             free = not before or BULLET.match(lines[i - 1]) or WIKI_ITEM.match(lines[i - 1]) or before.endswith((":", "：")) or PRIVATE.match(before)
             m = BULLET.match(line)
+            if m and len(m.group(3) or "") > 3:  # a year, or a number in prose, unless the items next to it count on
+                near = (BULLET.match(lines[k]) for k in (i - 1, i + 1) if 0 <= k < len(lines))
+                if not any(x and x.group(3) and abs(int(x.group(3)) - int(m.group(3))) == 1 for x in near):
+                    m = None
             if m and (free or (i and out and out[-1].startswith("\ue000"))):
                 self.found.add("list")
                 out.append(self.keep(" " * len(m.group(1).expandtabs(4)) + (f"{m.group(3)}. " if m.group(3) else "- ")) + line[m.end() :])
@@ -409,17 +427,16 @@ class Record:
                 self.sub(DEFINITION, "")
                 self.sub(REFERENCE, lambda m: m.group(1))
         if "{{" in w:
-            self.sub(TEMPLATE, lambda m: next((p.strip() for p in m.group(1).split("|")[1:] if "=" not in p), ""))
+            self.all(TEMPLATE, lambda m: next((p.strip() for p in m.group(1).split("|")[1:] if "=" not in p), ""))
         if "__" in w:
             self.sub(MAGIC, "")
         if "''" in w:
             self.sub(QUOTES, lambda m: m.group(1) or m.group(2) or m.group(3))
         if "\\" in w:
             self.sub(TEX_HREF, lambda m: m.group(1) or m.group(2))
-            for _ in range(4):
-                self.sub(TEX_KEEP, lambda m: m.group(1))
+            self.all(TEX_KEEP, lambda m: m.group(1))
             self.sub(TEX_DROP, "")
-            self.sub(TEX_ANY, lambda m: m.group(1))
+            self.all(TEX_ANY, lambda m: m.group(1))
             if self.tex or re.search(r"\\(?:noindent|bigskip|medskip|smallskip|par|newpage|quad|qquad)\b", w):
                 self.sub(TEX_BARE, "")
                 self.sub(TEX_BREAK, "")
@@ -439,9 +456,7 @@ class Record:
 
     def clean(self) -> str:
         w = self.w
-        for _ in range(4):
-            if "\ue000" not in w:
-                break
+        while "\ue000" in w:  # what is kept holds only what was kept before it
             w = PRIVATE.sub(lambda m: self.kept[int(m.group(1))], w)
         w = re.sub(r"[ \t]+$", "", w, flags=re.M)
         return re.sub(r"\n{3,}", "\n\n", w).strip("\n")
@@ -464,35 +479,95 @@ def parse(text: str, names: frozenset[str] = frozenset()) -> tuple[str, list[str
 
 
 def template_tokens(df: DataFrame, by: list[str], key: str, text: str, least: int = 3) -> DataFrame:
-    """(``*by``, ``members``, ``records``): valid equivalence classes of tag tokens of each source.
+    """(``*by``, ``members``, ``records``, ``inside``): valid equivalence classes of tag tokens of each source, and the class that each is nested in, or null.
 
     A token's occurrence vector is how often each record has it; it is summed up as one hash over
     (record, number) pairs, so that grouping needs no vector in one place. A class
     is valid if at least ``least`` records have it and it holds a name's opening and closing token,
-    which nest: in no record does the closing one come first or more often.
+    which nest: in no record does the closing one come first or more often. It lies inside
+    another one if it does so in every record that has it; of several, inside the one that begins last.
     """
-    names = F.expr(f"regexp_extract_all(`{text}`, '</?([a-zA-Z][a-zA-Z0-9]*)(?=[\\\\s/>])', 0)")
+    names = F.regexp_extract_all(F.col(text), F.lit(TOKEN_JAVA), F.lit(0))
     t = df.where(F.col(text).contains("<")).select(*by, F.col(key).alias("_k"), names.alias("_t")).select(*by, "_k", F.posexplode("_t").alias("at", "token"))
-    per = t.withColumn("token", F.lower("token")).groupBy(*by, "_k", "token").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    per = t.withColumn("token", F.lower("token")).groupBy(*by, "_k", "token").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
     # where its closing token stands first, a name's tokens don't nest
-    name = F.regexp_replace("token", "^</?", "")
+    name, closes = F.regexp_replace("token", "^</?", ""), F.col("token").startswith("</")
     both = per.groupBy(*by, "_k", name.alias("name")).agg(
-        F.min(F.when(~F.col("token").startswith("</"), F.col("first"))).alias("o"), F.min(F.when(F.col("token").startswith("</"), F.col("first"))).alias("c"),
-        F.sum(F.when(~F.col("token").startswith("</"), F.col("n")).otherwise(0)).alias("no"), F.sum(F.when(F.col("token").startswith("</"), F.col("n")).otherwise(0)).alias("nc"),
+        F.min(F.when(~closes, F.col("first"))).alias("o"), F.min(F.when(closes, F.col("first"))).alias("c"), F.max("last").alias("z"),
+        F.sum(F.when(~closes, F.col("n")).otherwise(0)).alias("no"), F.sum(F.when(closes, F.col("n")).otherwise(0)).alias("nc"),
     )
+    both = materialize(both, "tag-vectors")
     vec = lambda n: F.sum(F.xxhash64("_k", n).cast("decimal(20,0)"))
     v = both.groupBy(*by, "name").agg(vec("no").alias("vo"), vec("nc").alias("vc"), F.count("*").alias("records"), F.min(F.coalesce(F.col("o") < F.col("c"), F.lit(False))).alias("nests"))
-    valid = v.where((F.col("vo") == F.col("vc")) & F.col("nests") & (F.col("records") >= least))
-    return valid.groupBy(*by, "vo").agg(F.sort_array(F.collect_set("name")).alias("members"), F.max("records").alias("records")).drop("vo")
+    valid = materialize(v.where((F.col("vo") == F.col("vc")) & F.col("nests") & (F.col("records") >= least)).select(*by, "name", "vo", "records"), "tag-classes")
+    classes = valid.groupBy(*by, "vo").agg(F.sort_array(F.collect_set("name")).alias("members"), F.max("records").alias("records"))
+    # where each class begins and ends in each record
+    same = lambda a, b, cols: _all([F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols])
+    v = small_enough(valid.select(*by, "name", "vo")).alias("v")
+    span = both.alias("b").join(v, same("b", "v", [*by, "name"])).select(*[F.col(f"b.{c}") for c in by], "b._k", "v.vo", "b.o", "b.z").groupBy(*by, "_k", "vo").agg(F.min("o").alias("o"), F.max("z").alias("z"))
+    span = materialize(span, "tag-spans")
+    a, b = span.alias("a"), span.alias("b")
+    within = a.join(b, same("a", "b", [*by, "_k"]) & (F.col("a.vo") != F.col("b.vo")) & (F.col("a.o") > F.col("b.o")) & (F.col("a.z") < F.col("b.z")))
+    within = within.groupBy(*[F.col(f"a.{c}") for c in by], F.col("a.vo").alias("vo"), F.col("b.vo").alias("in")).agg(F.count("*").alias("n"), F.sum("b.o").alias("o"))
+    w = within.alias("w").join(classes.alias("c"), same("w", "c", [*by, "vo"]) & (F.col("w.n") == F.col("c.records")))
+    outer = w.groupBy(*[F.col(f"w.{c}") for c in by], F.col("w.vo").alias("vo")).agg(F.max_by("w.in", F.struct("w.o", "w.in")).alias("in"))
+    k = classes.alias("k").join(outer.alias("o"), same("k", "o", [*by, "vo"]), "left").select("k.*", "o.in").alias("k")
+    p = classes.select(*by, F.col("vo").alias("in"), F.col("members").alias("inside")).alias("p")
+    return k.join(p, _all([F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}")) for c in by]) & (F.col("k.in") == F.col("p.in")), "left").select(*[F.col(f"k.{c}") for c in by], "k.members", "k.records", "p.inside")
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def with_template(df: DataFrame, by: list[str], key: str, text: str) -> DataFrame:
+    """``df`` with ``_names``: the names of its source's valid classes, in order. One row a source is joined, broadcast while they are few."""
+    t = template_tokens(df, by, key, text).groupBy(*by).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("members")))).alias("_names"))
+    t = small_enough(materialize(t, "templates")).alias("t")
+    d = df.drop("_names").alias("d")
+    return d.join(t, _all([F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]), "left").select("d.*", "t._names")
+
+
+def slots_of(text: str, names: frozenset[str]) -> list[tuple[str, str]]:
+    """(path, text) of the slots of a record: what stands between the tokens of its template, with the tags around it."""
+    out: list[tuple[str, str]] = []
+    path: list[str] = []
+    at = 0
+    for m in TOKEN.finditer(text):
+        name = m.group(2).lower()
+        if name not in names:
+            continue
+        if text[at : m.start()].strip():
+            out.append(("/".join(path), text[at : m.start()].strip()))
+        at = m.end()
+        if not m.group(1):
+            path.append(name)
+        elif name in path:
+            del path[len(path) - 1 - path[::-1].index(name) :]
+    if text[at:].strip():
+        out.append(("/".join(path), text[at:].strip()))
+    return out
+
+
+def slots(df: DataFrame, by: list[str], key: str, text: str) -> DataFrame:
+    """(``key``, ``slot``, ``path``, ``text``): each record taken apart by its source's template; null and blank texts have no slots."""
+    d = with_template(df, by, key, text).select(F.col(key).alias("_key"), F.col(text).alias("_text"), "_names")
+    kind = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("slot", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, got = [], []
+            for i, (t, n) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                s = slots_of(t or "", frozenset(n or ()))
+                rows += [i] * len(s)
+                got += [(k, *x) for k, x in enumerate(s)]
+            cols = list(zip(*got, strict=True)) if got else [()] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=kind.names)
 
-def deduced_names(df: DataFrame, by: list[str], key: str, text: str) -> frozenset[str]:
-    """Names that no known language has but that form valid classes; at most ``MOST_NAMES``."""
-    known = sorted(KIND)
-    got = template_tokens(df, by, key, text).select(F.explode("members").alias("name")).where(~F.col("name").isin(known)).distinct().limit(MOST_NAMES + 1).collect()
-    if len(got) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} unknown tag names")
-    return frozenset(r[0] for r in got)
+    return d.mapInArrow(of, kind)
 
 
 def clean_markup(df: DataFrame, key: str, text: str, by: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -503,18 +578,24 @@ def clean_markup(df: DataFrame, key: str, text: str, by: list[str] | None = None
     elements. All columns are kept, or those of ``keep``; ones named ``clean_text`` and ``elements`` are replaced. Equal
     rows stay as many.
     """
-    names = deduced_names(df, by, key, text) if by else frozenset()
-    keep = [c for c in (df.columns if keep is None else keep) if c not in ("clean_text", "elements")]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("clean_text", "elements", "_names")]
     at = keep.index(text) if text in keep else len(keep)
+    d = with_template(df, by, key, text) if by else df.withColumn("_names", F.lit(None).cast("array<string>"))
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("clean_text", T.StringType()), T.StructField("elements", T.ArrayType(T.StringType()))])
+    d = d.select(*keep, *([] if text in keep else [text]), "_names")
+    last = len(d.columns) - 1
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(None, None) if t is None else parse(t, names) for t in b.column(at).to_pylist()]
+            sets: dict[tuple, frozenset[str]] = {}
+            got = []
+            for t, n in zip(b.column(at).to_pylist(), b.column(last).to_pylist(), strict=True):
+                n = tuple(n or ())
+                got.append((None, None) if t is None else parse(t, sets.setdefault(n, frozenset(n))))
             cols = [*(b.column(i) for i in range(len(keep))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "clean_text", "elements"])
 
-    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("clean_text", T.StringType()), T.StructField("elements", T.ArrayType(T.StringType()))])
-    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(of, schema)
+    return d.mapInArrow(of, schema)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

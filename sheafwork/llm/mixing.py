@@ -132,3 +132,14 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asked and reached shares of every source of every mix."""
     r = mix(spark, sf_dir).report()
     return r.select("mix_id", "source", F.round("share", 6).alias("share"), F.round("share_reached", 6).alias("share_reached"), "used", "uses", "available", "short")
+
+
+def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every source of every mix: whether the mix has as much of it as asked for or all there is, to within a document, and no document more often than allowed."""
+    m = mix(spark, sf_dir)
+    uses = m.rows().groupBy("mix_id", "source", "doc_id").agg(F.count("*").alias("uses"), F.sum("size").alias("size"), F.max("size").alias("longest"))
+    per = uses.groupBy("mix_id", "source").agg(F.max("uses").alias("uses"), F.sum("size").alias("used"), F.max("longest").alias("longest"))
+    p = m.plan.join(small_enough(materialize(per, "mix-limits")), ["mix_id", "source"], "left").fillna(0, ["uses", "used", "longest"])
+    wanted = F.least(F.col("target"), F.col("available").cast("double"))
+    near = (F.col("used") >= wanted - 1e-6) & ((F.col("used") - F.col("longest") < wanted) | (F.col("used") == 0))
+    return p.select("mix_id", "source", near.alias("near"), (F.col("uses") <= F.col("max_repeats")).alias("within_repeats"))

@@ -324,3 +324,8 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk with its class of equal texts and its group of nearly equal ones."""
     return near_duplicates(spark, sf_dir).groups()
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk with its class of equal texts."""
+    return near_duplicates(spark, sf_dir).members().select("key", F.col("rep").alias("class_id"))

@@ -29,7 +29,7 @@ Plan:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -43,8 +43,8 @@ from sheafwork.runtime import materialize, small_enough
 METRICS = {"cosinedistance": "cos", "euclideandistance": "l2", "manhattandistance": "l1"}
 #: Bits of a hash string, and how many of them come from hyperplanes; the rest parts vectors with equal signs.
 BITS, SIGN_BITS = 63, 40
-#: Entries of a part of a tree, on average.
-PART = 65_536
+#: Entries of a part of a tree, on average, and how many times the entries that an ascent collects in a tree a part holds at least.
+PART, REACHES = 16_384, 8
 #: Rows and columns of a block of distances.
 BLOCK, COLUMNS = 256, 8192
 
@@ -68,8 +68,15 @@ class Index:
     trees: int
     seed: int
     offsets: np.ndarray
+    sampled: np.ndarray  # the sample's strings, sorted by tree
     cuts: np.ndarray
 
+    def cut(self, parts: int) -> None:
+        """Cut every tree into parts that hold equal shares of the sample."""
+        n = len(self.sampled)
+        parts = max(1, min(n, parts))
+        self.cuts = self.sampled[(np.arange(1, parts) * n) // parts].T.copy()
+
 
 @lru_cache(maxsize=64)
 def planes(seed: int, number: int, trees: int, dims: int) -> np.ndarray:
@@ -195,8 +202,17 @@ def near_in_block(x: np.ndarray, ids: np.ndarray, margin: np.ndarray, first: int
 
     Left out are only rows that aren't within the bound, or that ``most`` others are nearer than, whatever the coding errors are.
     """
-    d = block_distances(x[first:last], x[lo:hi], metric)
     m = margin[first:last, None] + margin[None, lo:hi]
+    if metric == "l1" and np.isfinite(within):
+        # a sum of differences is at least the Euclidean distance, which is a matrix product
+        norm = np.sqrt((x.shape[1] + 8) / 2**24) * np.linalg.norm(x[lo:hi], axis=1)
+        slack = m + np.sqrt((x.shape[1] + 8) / 2**24) * np.linalg.norm(x[first:last], axis=1)[:, None] + norm[None]
+        r, c = np.nonzero(inside & (block_distances(x[first:last], x[lo:hi], "l2") - slack <= within))
+        d = np.full(inside.shape, np.inf, np.float32)
+        for k in range(0, len(r), 1 << 16):
+            d[r[k : k + (1 << 16)], c[k : k + (1 << 16)]] = np.abs(x[first + r[k : k + (1 << 16)]] - x[lo + c[k : k + (1 << 16)]]).sum(axis=1)
+    else:
+        d = block_distances(x[first:last], x[lo:hi], metric)
     ok = inside & (ids[first:last, None] != ids[None, lo:hi]) & (d - m <= within)
     many = np.flatnonzero(ok.sum(axis=1) > most)
     if len(many):
@@ -274,20 +290,20 @@ class Forest:
             own = got.filter(pa.compute.equal(got["collection"], name))
             x, rows = matrix(own["embedding"], p.dimensions)
             x, ids = placed(x, p.metric), own["id"].to_numpy()[rows]
-            ix = Index(n, p, self.trees, self.seed, np.zeros(self.trees * SIGN_BITS, np.float32), np.empty((self.trees, 0), np.int64))
+            ix = Index(n, p, self.trees, self.seed, np.zeros(self.trees * SIGN_BITS, np.float32), np.empty((0, self.trees), np.int64), np.empty((self.trees, 0), np.int64))
             if len(x):
                 w = planes(self.seed, n, self.trees, p.dimensions)
                 through = x[np.random.default_rng((self.seed, n, 1)).integers(0, len(x), len(w))]
                 ix.offsets = (w * through).sum(axis=1).astype(np.float32)
-                h = np.sort(strings(x, ids, ix), axis=0)
-                parts = max(1, min(len(x), round(self.sizes[name] / PART)))
-                ix.cuts = h[(np.arange(1, parts) * len(h)) // parts].T.copy()
+                ix.sampled = np.sort(strings(x, ids, ix), axis=0)
+                ix.cut(round(self.sizes[name] / PART))
             out[name] = ix
         return out
 
     def _entries(self, classes: DataFrame, vectors: bool) -> DataFrame:
         """One row per class and tree: its part, hash string and id and, with ``vectors``, its level, components in a byte each, their scale and margin."""
-        index = self.index
+        # the sample stays with the driver
+        index = {n: replace(ix, sampled=ix.sampled[:0]) for n, ix in self.index.items()}
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -419,6 +435,8 @@ class Forest:
         """(``q``, ``c``): what the ascent meets for each class, all that can be nearest by the coded distances and their margins."""
         ladder = materialize(self.descent(), "near-ladders")
         taken = self._calibrated(ladder)
+        for name, ix in self.index.items():
+            ix.cut(round(self.sizes.get(name, 0) / max(PART, REACHES * taken[name] // self.trees)))
         number = self.spark.createDataFrame(list(taken.items()), "collection string, _taken long")
         trees, runs = self.trees, self._runs
 

@@ -249,3 +249,12 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("containers"), F.sum("items").alias("items"), total.alias("tokens"), F.ceil(total / F.first("capacity_tokens")).alias("fewest"),
         F.round(total / (F.count("*") * F.first("capacity_tokens")), 4).alias("share_used"), F.max(F.col("fill") > F.col("capacity_tokens")).alias("overfull"),
     )
+
+
+def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each capacity and document: the bytes that its pieces have together, whether it is whole, and how many of them lie in an overfull container."""
+    p = packed_documents(spark, sf_dir)
+    fill = p.groupBy("capacity_tokens", "container").agg(F.sum("size").alias("_fill"))
+    p = p.join(fill, ["capacity_tokens", "container"])
+    over = F.count_if((F.col("_fill") > F.col("capacity_tokens")) | (F.col("_fill") != F.col("fill")))
+    return p.groupBy("capacity_tokens", "doc_id").agg(F.sum("size").alias("size"), (F.max("pieces") == 1).alias("whole"), over.alias("over"))

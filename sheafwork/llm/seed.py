@@ -59,3 +59,31 @@ SENTENCES: dict[str, list[str]] = {
         "วันที่ 5 ฝนตก", "รอ 3 วัน",
     ],
 }
+
+#: Parts of invented sentences in scripts without spaces, as lists to choose from, one after another.
+PATTERNS: dict[str, list[list[list[str]]]] = {
+    "zh": [
+        [["", "今天", "昨天", "明天", "早上", "晚上", "上个月", "现在", "后来", "周末"], ["我", "你", "他", "她", "我们", "他们", "老师", "工人", "妈妈", "经理", "邻居", "孩子们", "这位客人", "小李"], ["去", "来", "回", "到", "去过"], ["学校", "公园", "商店", "北京", "医院", "车站", "办公室"], ["", "了", "买东西", "看朋友", "上班", "散步", "开会了"]],
+        [["我", "你", "他", "她", "我们", "大家", "师傅", "姐姐", "那个人"], ["看了", "买了", "修好了", "洗了", "写完了", "打开了", "喜欢", "需要", "想要", "正在找", "没有带", "忘了"], ["一本书", "两个苹果", "水泵", "机器", "报告", "窗户", "衣服", "钥匙", "新电脑", "这份文件"]],
+        [["天气", "水", "这个房间", "那台机器", "饭菜", "路", "他的声音", "外面", "价格", "问题"], ["很", "非常", "不太", "有点", "真"], ["好", "冷", "热", "大", "干净", "便宜", "远", "安静", "复杂", "奇怪"], ["", "了", "啊"]],
+        [["你", "你们", "他", "老板", "客人"], ["是不是", "什么时候", "为什么", "会不会", "能不能", "要不要"], ["来", "走", "吃饭", "回家", "打电话", "休息", "参加会议"], ["", "呢", "啊"]],
+        [["你", "他", "大家", "你们"], ["吃饭", "下班", "准备好", "听见", "明白", "到家"], ["了吗", "了没有", "吗"]],
+        [["请", "请你", "别", "不要", "我们"], ["关门", "坐下", "等一下", "说话", "慢慢走", "早点睡", "一起吃饭"], ["", "吧", "好吗"]],
+        [["因为下雨", "虽然很累", "如果你有空", "吃完饭以后", "下课的时候", "听到消息后"], ["我们", "他", "大家", "孩子", "我"], ["都", "就", "还是", "马上", ""], ["回家", "出去玩", "继续工作", "睡觉", "高兴", "走"], ["了", "起来", ""]],
+        [["这", "那", "这里", "他", "她哥哥"], ["是", "不是"], ["我的书", "一个老师", "学校", "一家工厂", "新来的医生", "去年买的车"]],
+    ],
+    "ja": [
+        [["", "今日", "昨日", "明日", "朝", "先週", "今", "その後"], ["私は", "彼は", "彼女は", "母は", "先生は", "子供たちは", "友達が", "田中さんは", "猫が"], ["学校へ", "公園に", "店で", "駅まで", "会社に", "家で"], ["行きます", "行きました", "来ます", "来ました", "働いています", "寝ています", "行った", "着いた"]],
+        [["私は", "彼は", "姉が", "みんなで", "父は", ""], ["本を", "水を", "窓を", "写真を", "手紙を", "新しい車を", "ご飯を"], ["読みます", "読みました", "飲みました", "開けてください", "撮りました", "書いた", "買いました", "食べた", "見ています"]],
+        [["天気が", "この部屋は", "水は", "値段が", "外は", "その機械は"], ["とても", "少し", "かなり", ""], ["いいです", "寒いです", "きれいでした", "高いです", "静かだ", "安かった", "古いです", "暑い"]],
+        [["これは", "それは", "彼は", "ここは"], ["私の本", "学生", "駅", "新しい工場", "去年の写真", "医者"], ["です", "でした", "だ", "ではありません", "ですか"]],
+        [["雨が降ったので", "疲れていたけれど", "時間があれば", "駅に着いてから"], ["私は", "みんな", "彼は", "すぐ", ""], ["帰りました", "出かけます", "仕事を続けました", "休みました", "電話します"]],
+        [["どこへ", "何を", "いつ", "誰が"], ["行きますか", "しますか", "来ますか", "食べましたか"]],
+    ],
+}
+
+#: Titles of a script without spaces, which are one unit.
+TITLES: dict[str, list[list[str]]] = {
+    "zh": [["水泵", "机器", "仓库", "设备", "客户", "安全", "春季", "夜间", "员工", "图书"], ["检查", "维修", "使用", "管理", "清洗", "培训", "借阅", "运输"], ["记录", "说明", "手册", "报告", "方法", "表", "规定", "常见问题", "指南"]],
+    "ja": [["機械", "倉庫", "設備", "安全", "図書", "窯", "夜間", "顧客"], ["点検", "修理", "使用", "管理", "清掃", "研修", "貸出"], ["記録", "説明", "の手引き", "報告", "の方法", "表", "について"]],
+}

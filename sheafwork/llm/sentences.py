@@ -1,12 +1,12 @@
-"""Sentence boundaries in any language and script, by a linear-chain sequence model.
-
-Every character is tagged as the end of a unit or as inside one. Blank lines end units for
-certain, and characters that are no end mark (nor, in Thai, a space) are inside for certain, so
-that only the rest, the candidates, need a decision: each is described by features of
-what stands around it, the weights of features and of tag pairs come from a structured
-perceptron, and Viterbi decoding finds the best tags of a paragraph. The model is trained
-here, on sentences of the seed corpus in ``seed.py`` joined in random ways, so that the true ends
-are known; the Thai part of it is trained on text without any punctuation.
+"""Sentence boundaries in any language and script, by linear-chain sequence models.
+
+Every character is tagged as the end of a unit or as inside one. In text with end marks the rest is inside for
+certain: blank lines end units, and of all other characters only end marks (and spaces in Thai, Lao and Khmer) are candidates that
+need a decision; each is described by features of what stands around it. In a paragraph of a script without spaces (Chinese, Japanese) that has
+no end mark at all, every character is a candidate, described by the characters around it. The weights of features and of tag
+pairs come from a structured perceptron, and Viterbi decoding finds the best tags of a paragraph. Both models are trained
+here: one on sentences of the seed corpus in ``seed.py`` joined in random ways, so that the true ends
+are known, its Thai part without any punctuation; the other on sentences of the same kind stripped of their punctuation.
 """
 
 from __future__ import annotations
@@ -18,14 +18,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from sheafwork.functions.text import WHITE_SPACE
 from sheafwork.llm import seed
 
 BLANK = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)\s*")
 HEADING = re.compile(r"^#{1,6}[^\S\r\n].*$", re.M)
 MASKED = re.compile(r"(?:https?://|www\.)[^\s<>\"“”«»）」。，]*[^\s<>\"“”«»）」。，.,;:!?)\]}']|[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.\w+")
-MARKS = ".!?…。！？｡．؟۔।॥‼⁇⁈⁉"
+MARKS = ".!?…。！？｡．؟۔।॥‼⁇⁈⁉။៕។།༎։።፧᠃᱾"
+#: Marks that end a unit by themselves, in scripts where they stand for nothing else.
+FULL = "。｡．।॥۔။៕។།༎։።᠃᱾"
 OPENING = "([{“‘„‚«‹「『（【〈《［"
 CLOSING = ")]}”’»›」』）】〉》］"
 #: Which opening signs a closing sign ends.
@@ -35,7 +39,9 @@ ENDS = {
 }
 LAST_WORD = re.compile(r"[^\W\d_]+$")
 EVENT = re.compile("[" + re.escape(MARKS + OPENING + CLOSING + "\"'") + "]")
-THAI = re.compile(r"[฀-๿]")
+#: Scripts that part sentences by spaces: Thai and Lao, and Khmer where it has no marks.
+THAI, KHMER = re.compile(r"[\u0e00-\u0eff]"), re.compile(r"[\u1780-\u17ff]")
+WIDE = re.compile(r"[\u3041-\u3096\u30a1-\u30fa\u30fc\u3005\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 THAI_SPACE = re.compile(r"[^\S\r\n]+")
 WS = frozenset("\t\n\x0b\x0c\r \x85\xa0  　  " + "".join(map(chr, range(0x2000, 0x200B))) + "  ")
 
@@ -180,11 +186,11 @@ def candidates(text: str, start: int, end: int, masked: list[tuple[int, int]]) -
             if j not in closing:
                 break
             opened, stop = closing[j], j + 1
-        if any(ch in "。｡．।॥۔" for ch in mark) and mark.strip("。｡．।॥۔") == "":
+        if mark.strip(FULL) == "":
             kind = "full"
         elif mark == ".":
             kind = "point"
-        elif any(ch in "!?！？؟‼⁇⁈⁉" for ch in mark):
+        elif any(ch in "!?！？؟‼⁇⁈⁉፧" for ch in mark):
             kind = "bang"
         else:
             kind = "dots"
@@ -208,23 +214,42 @@ def candidates(text: str, start: int, end: int, masked: list[tuple[int, int]]) -
             "inside" if inside else "outside", f"k {kind} {'inside' if inside else ''}", f"b {before}", f"a {after}", base if not quote else f"{kind}|{before}", f"g {kind} {gap} {after}",
             f"q {quote} {after}", f"q {quote}", f"s {kind} {script} {after if script in ('caseless', 'wide') else ''}", f"in {inside} {quote}",
         )))
-    if THAI.search(text, start, end):
+    if THAI.search(text, start, end) or (not out and KHMER.search(text, start, end)):
+        spaced = lambda c: "\u0e00" <= c <= "\u0eff" or "\u1780" <= c <= "\u17ff"
         ends = {p for p, _ in out}
         for m in THAI_SPACE.finditer(text, start, end):
             a, z = m.span()
             if a <= start or z >= end or a in ends or text[z] in "\r\n" or text[a - 1] in "\r\n":
                 continue
             left, right = text[a - 1], text[z]
-            if not (("฀" <= left <= "๿") or ("฀" <= right <= "๿")):
+            if not (spaced(left) or spaced(right)):
                 continue
             inside = any(p < a and z <= q for p, q in spans)
-            side = lambda c: "repeat" if c == "ๆ" else "thai" if "฀" <= c <= "๿" and not c.isdigit() else "digit" if c.isdigit() else "latin" if c.isalpha() and c < "ɐ" else "sign"
+            side = lambda c: "repeat" if c in "ๆໆៗ" else "thai" if spaced(c) and not c.isdigit() else "digit" if c.isdigit() else "latin" if c.isalpha() and c < "ɐ" else "sign"
             le, ri = side(left), side(right)
             out.append((a, ("inside" if inside else "outside", f"t {le} {ri}", f"tl {le}", f"tr {ri}")))
         out.sort()
     return out
 
 
+def characters(text: str, start: int, end: int) -> list[Candidate]:
+    """Every place between two characters of a script without spaces, in a paragraph without end marks; none in any other."""
+    if not WIDE.search(text, start, end) or any(m.group() in MARKS for m in EVENT.finditer(text, start, end)):
+        return []
+    out: list[Candidate] = []
+    wide = [bool(WIDE.match(c)) for c in text[start:end]]
+    for i in range(1, len(wide)):
+        j = i
+        while j < len(wide) and text[start + j] in WS:
+            j += 1
+        if not wide[i - 1] or j >= len(wide) or not wide[j]:
+            continue
+        at, to = start + i, start + j
+        p, n = text[max(start, at - 3) : at], text[to : min(end, to + 3)]
+        out.append((at, (f"p {p[-1]}", f"pp {p[-2:]}", f"ppp {p}", f"n {n[0]}", f"nn {n[:2]}", f"nnn {n}", f"pn {p[-1]} {n[0]}", "gap" if j > i else "tight")))
+    return out
+
+
 class Model:
     """Weights of features for a boundary, and of pairs of tags."""
 
@@ -271,19 +296,32 @@ def _documents(rounds: int, rng: random.Random) -> Iterator[tuple[str, set[int]]
             yield text, ends
 
 
-@lru_cache(maxsize=1)
-def trained(rounds: int = 150, rng_seed: int = 3) -> Model:
-    """The model: an averaged structured perceptron over the seed corpus."""
+def _stripped(rounds: int, rng: random.Random) -> Iterator[tuple[str, set[int]]]:
+    """Sentences of scripts without spaces, stripped of their punctuation and joined, with the true ends; names and titles stand alone."""
+    for _ in range(rounds):
+        for language in ("zh", "ja"):
+            text, ends = "", set()
+            for _ in range(rng.randint(1, 5)):
+                if rng.random() < 0.15:
+                    s = "".join(c for c in rng.choice(seed.SENTENCES[language]) if WIDE.match(c))
+                else:
+                    s = "".join(rng.choice(part) for part in rng.choice(seed.PATTERNS[language]))
+                text += s
+                ends.add(len(text))
+            yield text, ends
+            title = "".join(rng.choice(part) for part in seed.TITLES[language])
+            yield title, {len(title)}
+
+
+def perceptron(examples: Iterator[tuple[list[Candidate], list[int]]]) -> Model:
+    """An averaged structured perceptron: weights of what is right go up and of what was guessed instead down."""
     w: dict[str, float] = defaultdict(float)
     total: dict[str, float] = defaultdict(float)
     step = 0
-    for text, ends in _documents(rounds, random.Random(rng_seed)):
-        cands = candidates(text, 0, len(text), mask(text))
-        cands = [c for c in cands if c[1] != ("sure",)]
+    for cands, gold in examples:
         step += 1
         if not cands:
             continue
-        gold = [int(p in ends) for p, _ in cands]
         guess = Model(w, tuple(w[f"p{k}"] for k in range(4))).decode(cands)
         if guess == gold:
             continue
@@ -301,6 +339,30 @@ def trained(rounds: int = 150, rng_seed: int = 3) -> Model:
     return Model({k: v for k, v in mean.items() if k not in ("p0", "p1", "p2", "p3") and v}, tuple(mean.get(f"p{k}", 0.0) for k in range(4)))
 
 
+@lru_cache(maxsize=1)
+def trained(rounds: int = 150, rng_seed: int = 3) -> Model:
+    """The model of text with end marks, or with spaces between its sentences: trained on the seed corpus."""
+
+    def examples() -> Iterator[tuple[list[Candidate], list[int]]]:
+        for text, ends in _documents(rounds, random.Random(rng_seed)):
+            cands = [c for c in candidates(text, 0, len(text), mask(text)) if c[1] != ("sure",)]
+            yield cands, [int(p in ends) for p, _ in cands]
+
+    return perceptron(examples())
+
+
+@lru_cache(maxsize=1)
+def tagger(rounds: int = 1500, rng_seed: int = 5) -> Model:
+    """The model that tags every character of text without any marks: trained on stripped sentences."""
+
+    def examples() -> Iterator[tuple[list[Candidate], list[int]]]:
+        for text, ends in _stripped(rounds, random.Random(rng_seed)):
+            cands = characters(text, 0, len(text))
+            yield cands, [int(p in ends) for p, _ in cands]
+
+    return perceptron(examples())
+
+
 def mask(text: str) -> list[tuple[int, int]]:
     """Addresses, whose points are no end marks."""
     return [m.span() for m in MASKED.finditer(text)] if "://" in text or "@" in text or "www." in text else []
@@ -322,15 +384,17 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
         at = max(at, z)
 
 
-def units(text: str, model: Model) -> list[tuple[int, int]]:
-    """(start, end) of the sentence units of a text, in order."""
+def units(text: str, model: Model, tags: Model | None = None) -> list[tuple[int, int]]:
+    """(start, end) of the sentence units of a text, in order; ``tags`` is the model for text without marks."""
     out = []
     masked = mask(text)
     for start, end in paragraphs(text):
-        cands = candidates(text, start, end, masked)
+        cands, by = candidates(text, start, end, masked), model
+        if not cands and tags and (cands := characters(text, start, end)):
+            by = tags
         at = start
         if cands:
-            for (p, _), tag in zip(cands, model.decode(cands), strict=True):
+            for (p, _), tag in zip(cands, by.decode(cands), strict=True):
                 if tag and p > at:
                     out.append((at, p))
                     at = p
@@ -347,16 +411,15 @@ def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     Offsets are code points from 0, the end exclusive. A null, empty or blank text has no units. Rows that stand twice
     are taken twice; other columns are left out. One task holds one text at a time.
     """
-    model = trained()
-    weights, pairs = model.weights, model.pairs
+    models = [(m.weights, m.pairs) for m in (trained(), tagger())]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(weights, pairs)
+        m, tags = (Model(*x) for x in models)
         for b in batches:
             rows, no, a, z = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 if t:
-                    u = units(t, m)
+                    u = units(t, m, tags)
                     rows += [i] * len(u)
                     no += range(len(u))
                     a += [x for x, _ in u]
@@ -370,3 +433,14 @@ def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sentence unit of every document."""
     return split_sentences(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "char_start", "char_end")
+
+
+def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every text: how many characters but white space its units have, and how many of its units don't begin after the one before."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    u = split_sentences(docs)
+    j = docs.join(u, "doc_id", "left")
+    bare = F.length(F.regexp_replace(F.expr("substring(text, CAST(char_start AS INT) + 1, CAST(char_end - char_start AS INT))"), f"[{WHITE_SPACE}]", ""))
+    before = F.lag("char_end", 1, 0).over(Window.partitionBy("doc_id").orderBy("unit"))
+    j = j.withColumn("n", F.coalesce(bare, F.lit(0)).cast("long")).withColumn("bad", F.coalesce((F.col("char_start") < before).cast("int"), F.lit(0)))
+    return j.groupBy("doc_id").agg(F.sum("n").alias("chars"), F.sum("bad").alias("gaps"))

@@ -233,3 +233,10 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all drafts."""
     return split_drafts(spark, sf_dir).select("draft_id", "piece", "pieces", "heading_path", "text", "token_count", "piece_start", "piece_end", "piece_overlap")
+
+
+def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every draft: the tokens that its pieces cover, each counted once, whether it is whole, and how many pieces are over their limit."""
+    limits = spark.read.parquet(f"{sf_dir}/collection_profile.parquet").select("collection", "max_tokens")
+    p = split_drafts(spark, sf_dir).join(small_enough(limits), "collection", "left")
+    return p.groupBy("draft_id").agg(F.sum(F.col("token_count") - F.col("piece_overlap")).alias("tokens"), (F.max("pieces") == 1).alias("whole"), F.count_if(F.col("token_count") > F.col("max_tokens")).alias("over"))

@@ -72,9 +72,33 @@ def test_rows_and_nulls(spark):
 
 
 def test_templates(spark):
-    pages = [(i, "h", f"<row><cell>{i}</cell></row> <serial> and <odd>x</odd>" + "<odd>" * (i % 2)) for i in range(6)]
+    pages = [(i, "h", f"<row><cell>{i}</cell></row> <serial> and <odd>x</odd>" + "<odd>" * (i % 2)) for i in range(6)] + [(10 + i, "g", "<list>" + "<unit><date>d</date></unit>" * (i + 1) + "</list> <row> alone") for i in range(3)] + [(20, "n", None)]
     df = spark.createDataFrame(pages, "id long, host string, text string")
-    got = {tuple(r["members"]) for r in M.template_tokens(df, ["host"], "id", "text").collect()}
-    assert got == {("cell", "row")}
-    assert M.deduced_names(df, ["host"], "id", "text") == {"cell", "row"}
-    assert M.parse(pages[0][2], frozenset({"cell", "row"}))[1] == ["inline"] and M.parse("a <serial> b", frozenset({"row"}))[1] == []
+    got = {(r["host"], tuple(r["members"])): r["inside"] for r in M.template_tokens(df, ["host"], "id", "text").collect()}
+    # names with one vector are one class; another vector inside it is nested
+    assert got == {("h", ("cell", "row")): None, ("g", ("list",)): None, ("g", ("date", "unit")): ["list"]}
+    # a source's template is its own
+    names = {r["host"]: r["_names"] for r in M.with_template(df, ["host"], "id", "text").select("host", "_names").distinct().collect()}
+    assert names == {"h": ["cell", "row"], "g": ["date", "list", "unit"], "n": None}
+    el = {r["id"]: r["elements"] for r in M.clean_markup(df, "id", "text", ["host"]).collect()}
+    assert el[0] == ["inline"] and el[10] == ["inline"] and el[20] is None
+    lone = spark.createDataFrame([(1, "z", "<row>a</row>"), (2, "h", "<cell>")], "id long, host string, text string")
+    assert [r["elements"] for r in M.clean_markup(lone, "id", "text", ["host"]).collect()] == [[], []]
+    s = sorted((r["id"], r["slot"], r["path"], r["text"]) for r in M.slots(df, ["host"], "id", "text").where("id IN (0, 11)").collect())
+    assert s == [(0, 0, "row/cell", "0"), (0, 1, "", "<serial> and <odd>x</odd>"), (11, 0, "list/unit/date", "d"), (11, 1, "list/unit/date", "d"), (11, 2, "", "<row> alone")]
+
+
+@pytest.mark.parametrize("n", [10, 79, 399, 401, 5000])
+def test_a_formula_of_any_length(n):
+    assert M.parse("so $x_1 + " + "y + " * (n // 4) + "z$ holds")[1] == ["formula"]
+
+
+def test_numbers_of_lists():
+    assert M.parse("999. a\n1000. b\n1001. c")[1] == ["list"] and M.parse("998. a\n999. b")[1] == ["list"]
+    assert M.parse("1998. That year was dry.")[1] == []
+
+
+@pytest.mark.parametrize("deep", [1, 4, 5, 12])
+def test_nesting_of_any_depth(deep):
+    assert M.parse("a {{x|" * deep + "in" + "}}" * deep + " b")[0].count("{") == 0
+    assert M.parse("\\textbf{" * deep + "in" + "}" * deep)[0] == "in"

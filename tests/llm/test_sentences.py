@@ -83,6 +83,49 @@ def test_viterbi_equals_enumeration():
     assert value(m.decode(c)) == pytest.approx(max(value(t) for t in product((0, 1), repeat=6)))
 
 
+UNMARKED = [
+    ["今天天气很好", "我们去公园散步", "他没有来"],
+    ["昨天老师买了两本书", "她很高兴"],
+    ["私は昨日学校へ行きました", "先生はとても元気です", "明日も行きます"],
+]
+
+
+@pytest.mark.parametrize("sentences", UNMARKED)
+def test_text_without_marks(sentences):
+    text = "".join(sentences)
+    assert [text[a:z] for a, z in S.units(text, S.trained(), S.tagger())] == sentences
+
+
+def test_held_out_accuracy_without_marks():
+    right = found = true = 0
+    for text, ends in S._stripped(300, random.Random(91)):
+        got = {z for _, z in S.units(text, S.trained(), S.tagger())}
+        right, found, true = right + len(got & ends), found + len(got), true + len(ends)
+    assert right / found > 0.95 and right / true > 0.95
+
+
+def test_a_title_is_one_unit():
+    for t in ("水泵维修记录", "设备检查方法", "機械の点検について", "図書貸出の手引き"):
+        assert len(S.units(t, S.trained(), S.tagger())) == 1
+
+
+@pytest.mark.parametrize(
+    "sentences",
+    [["မင်္ဂလာပါ။", "နေကောင်းလား။"], ["ខ្ញុំទៅផ្សារ។", "គាត់នៅផ្ទះ។"], ["བོད་ཡིག།", "སྐད་ཆ།"], ["ሰላም ነው።", "ደህና ነህ፧", "አዎ።"], ["Բարեւ ձեզ։", "Ինչպես եք։"]],
+)
+def test_marks_of_other_scripts(sentences):
+    text = " ".join(sentences)
+    assert [text[a:z] for a, z in S.units(text, S.trained(), S.tagger())] == sentences
+
+
+def test_spaces_of_lao_and_khmer():
+    for parts in (["ຂ້ອຍໄປຕະຫຼາດ", "ລາວຢູ່ເຮືອນ"], ["ខ្ញុំទៅផ្សារ", "គាត់នៅផ្ទះ"]):
+        assert [" ".join(parts)[a:z] for a, z in S.units(" ".join(parts), S.trained())] == parts
+    # with its own mark, Khmer's spaces are inside
+    t = "ខ្ញុំទៅផ្សារ គាត់នៅផ្ទះ។ ចប់។"
+    assert [t[a:z] for a, z in S.units(t, S.trained())] == ["ខ្ញុំទៅផ្សារ គាត់នៅផ្ទះ។", "ចប់។"]
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "Aa bb. Cc dd."), (2, None), (3, ""), (4, " \n"), (1, "Aa bb. Cc dd."), (5, "x" * 200_000 + ". Y.")], "doc_id long, text string").withColumn("unit", F.lit("clash"))
     got = sorted((r["doc_id"], r["unit"], r["char_start"], r["char_end"]) for r in S.split_sentences(df).collect())
