@@ -130,7 +130,7 @@ def _natural(text: str, lo: int, cut: int) -> int | None:
         if m.start() > 0:
             return lo + m.start()
     for m in reversed(list(SENTENCE_END.finditer(text, lo, min(len(text), cut + 1)))):
-        if m.end() <= cut and not (m.group() == "." and (text[: m.end()].endswith(ABBREVIATIONS) or INITIAL.search(text[max(0, m.end() - 3) : m.end()]))):
+        if m.end() <= cut and not (m.group() == "." and (text.endswith(ABBREVIATIONS, 0, m.end()) or INITIAL.search(text[max(0, m.end() - 3) : m.end()]))):
             return m.end()
     spaces = list(regex.finditer(r"\s+", part))
     return next((lo + m.start() for m in reversed(spaces) if m.start() > 0), None)
@@ -206,18 +206,32 @@ def _chunk(ordinal: int, text: str, a: int, b: int, n: int, path: tuple[str, ...
     return Chunk(ordinal, a, b, n, p, body, (SEPARATOR.join(p) + "\n\n" + body) if p and o.prepend_headings else body, kind, page)
 
 
+def _last_row(text: str, blocks: list[Block], header: str, i: int, o: Options, count: Counter) -> int:
+    """The last row that fits with those from ``i`` under the header: gallop, then halve, so that rows are counted a few times and not once each."""
+
+    def fits(j: int) -> bool:
+        return count(f"{header}\n{text[blocks[i].start : blocks[j].end]}") <= o.max_tokens
+
+    step, lo = 1, i
+    while lo + step < len(blocks) and fits(lo + step):
+        lo, step = lo + step, 2 * step
+    hi = min(lo + step, len(blocks) - 1)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if fits(mid) else (lo, mid - 1)
+    return lo
+
+
 def _oversize(text: str, blocks: list[Block], path: tuple[str, ...], o: Options, count: Counter, first: int) -> Iterator[Chunk]:
     """Pieces of a stretch over the budget: rows of a table under its header, or windows."""
     a, b = blocks[0].start, blocks[-1].end
     if o.overflow == "throw":
-        raise SheafError(6154, f"{count(text[a:b])} tokens of {o.max_tokens}")
+        raise SheafError(6151, f"{count(text[a:b])} tokens of {o.max_tokens}")
     out: list[Chunk] = []
     if o.repeat_header and len(blocks) > 1 and all(x.kind == "TableRow" for x in blocks):
         header, i = text[blocks[0].start : blocks[0].end], 1
         while i < len(blocks):
-            j = i
-            while j + 1 < len(blocks) and count(f"{header}\n{text[blocks[i].start : blocks[j + 1].end]}") <= o.max_tokens:
-                j += 1
+            j = _last_row(text, blocks, header, i, o, count)
             body = f"{header}\n{text[blocks[i].start : blocks[j].end]}"
             n = count(body)
             if n <= o.max_tokens:
@@ -335,3 +349,26 @@ def chunk_documents(df: DataFrame, key: str, text: str, media_type: str, o: Opti
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.names)
 
     return df.select(key, text, F.col(media_type)).mapInArrow(of, schema)
+
+
+def chunk_extracted(docs: DataFrame, o: Options, chunker: str = "auto", count: Counter = units) -> DataFrame:
+    """The chunks of extracted documents (``document_id``, ``text``, ``blocks``, ``media_type``), and ``error``.
+
+    A document that the chunker fails on gives one row with its error and nothing else, so that it fails alone.
+    """
+    schema = T.StructType([T.StructField("document_id", T.StringType()), *T._parse_datatype_string(CHUNK + ", error string").fields])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+        for b in batches:
+            got: list[tuple] = []
+            for i, t, blocks, m in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                try:
+                    cs = chunk_text(t, [Block(**x) for x in blocks or []], (m or "text/plain").split(";")[0].strip().lower(), o, chunker, count) if t and t.strip() else []
+                    got += [(i, c.ordinal, c.start, c.end, c.tokens, list(c.path), c.text, c.embed_text, c.kind, c.page, None) for c in cs]
+                except Exception as e:  # noqa: BLE001
+                    got.append((i, *[None] * 9, str(e)[:500]))
+            cols = list(zip(*got, strict=True)) if got else [()] * 11
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
+
+    return docs.select("document_id", "text", "blocks", "media_type").mapInArrow(of, schema)

@@ -17,7 +17,10 @@ from sheafwork.errors import SheafError
 from sheafwork.functions import vectors
 from sheafwork.functions.filters import Predicate, where
 from sheafwork.operators import search
+from sheafwork.operators.embedding import Embedder, embed_distinct
+from sheafwork.operators.fulltext import TextIndex
 from sheafwork.operators.state import last_wins, next_keys
+from sheafwork.runtime import materialize
 from sheafwork.sources.versioned import VersionedTable
 
 #: Column types of record attributes.
@@ -81,9 +84,12 @@ class Definition:
 class Collection:
     """One collection under ``root``; every write is one commit of its versioned table."""
 
-    def __init__(self, spark: SparkSession, root: str, definition: Definition):
+    def __init__(self, spark: SparkSession, root: str, definition: Definition, embedder: Embedder | None = None, source: str | None = None, document_prefix: str = "", query_prefix: str = "", tokenizer: str = "unicode61", diacritics: int = 1):
+        """``embedder`` makes the vectors: of rows that come without any from the text in ``source``, after ``document_prefix``, and of queries given as text, after ``query_prefix``."""
         self.spark, self.root, self.d = spark, root, definition
+        self.embedder, self.source, self.document_prefix, self.query_prefix = embedder, source, document_prefix, query_prefix
         self.table = VersionedTable(spark, root)
+        self.indexes = {c: TextIndex(spark, f"{root}/_text/{c}", definition.key, tokenizer, diacritics) for c in definition.full_text}
 
     def exists(self) -> bool:
         return self.table.version() > 0
@@ -108,17 +114,30 @@ class Collection:
         self._rows()
         if d.auto_key:
             rows = next_keys(self._rows().select(d.key), rows, d.key, order)
+        if d.vector not in rows.columns:
+            if not (self.embedder and self.source):
+                raise SheafError(5206, d.vector)
+            rows = embed_distinct(rows, self.source, self.embedder, d.dimensions, prefix=self.document_prefix).withColumnRenamed("embedding", d.vector)
         new = last_wins(rows, [d.key], order).select(*d.schema.names)
         new = new.withColumn(d.vector, vectors.checked(F.col(d.vector), d.dimensions))
         new = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in d.schema])
-        from sheafwork.runtime import materialize
-
         new = materialize(new, "upsert")
+        # the text indexes come first: replacing what a run that died has left there gives the same again
+        for c, index in self.indexes.items():
+            index.update(new, c)
         return self.table.commit(add=new, delete_keys=new.select(d.key))
 
     def delete(self, keys: DataFrame) -> int:
         """Delete the rows that match ``keys``' columns."""
-        return self.table.commit(delete_keys=keys)
+        gone = None
+        if self.indexes:
+            k = keys.distinct().alias("k")
+            same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys.columns]
+            gone = materialize(self._rows().alias("r").join(k, same, "left_semi").select(self.d.key), "deleted")
+        out = self.table.commit(delete_keys=keys)
+        for index in self.indexes.values():
+            index.delete(gone)
+        return out
 
     def _cols(self, include_vectors: bool) -> list[str]:
         return [c for c in self.d.schema.names if include_vectors or c != self.d.vector]
@@ -132,12 +151,17 @@ class Collection:
         return where(self._rows(), predicate).select(*self._cols(include_vectors)).orderBy(*by).offset(skip).limit(top)
 
     def search(self, query, top: int = 10, skip: int = 0, **kw) -> DataFrame:  # noqa: ANN001, ANN003
-        return search.knn(self._rows(), query, top, skip, self.d.metric, key=self.d.key, vector=self.d.vector, **kw)
+        return search.knn(self._rows(), query, top, skip, self.d.metric, key=self.d.key, vector=self.d.vector, embedder=self.embedder, prefix=self.query_prefix, **kw)
 
     def hybrid(self, query, keywords: list[str], top: int = 10, skip: int = 0, text: str | None = None, **kw) -> DataFrame:  # noqa: ANN001, ANN003
+        """Records by both lanes; the keyword lane reads the index of the full-text column ``text``, which must be named if there are several."""
         rows = self._rows()
-        hits = search.hybrid(rows, query, keywords, text or list(self.d.full_text), top, skip, self.d.metric, key=self.d.key, vector=self.d.vector, **kw)
-        return rows.select(*self._cols(False)).join(F.broadcast(hits), self.d.key).orderBy(F.desc("score"), self.d.key)
+        if text is None and len(self.d.full_text) != 1:
+            raise SheafError(5213)
+        text = text or self.d.full_text[0]
+        index = self.indexes.get(text)
+        hits = search.hybrid(rows, query, keywords, text, top, skip, self.d.metric, key=self.d.key, vector=self.d.vector, embedder=self.embedder, prefix=self.query_prefix, index=index if index and index.table.version() else None, **kw)
+        return rows.select(*self._cols(False)).join(F.broadcast(hits), self.d.key).orderBy(F.desc("score"), self.d.key)  # a page of hits
 
 
 def list_collections(spark: SparkSession, root: str) -> list[str]:

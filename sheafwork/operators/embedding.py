@@ -179,13 +179,17 @@ def embed(df: DataFrame, text: str, embedder: Embedder, dimensions: int, batch:
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(of, schema)
 
 
-def embed_distinct(df: DataFrame, text: str, embedder: Embedder, dimensions: int, known: DataFrame | None = None, **kw) -> DataFrame:  # noqa: ANN003
-    """The same, embedding each text once and none that ``known`` (``hash``, ``embedding``) has."""
-    d = df.withColumn("_h", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    todo = d.where(F.col(text).isNotNull()).groupBy("_h").agg(F.first(text).alias("_t"))
+def embed_distinct(df: DataFrame, text: str, embedder: Embedder, dimensions: int, known: DataFrame | None = None, by: str | None = None, **kw) -> DataFrame:  # noqa: ANN003
+    """The same, embedding each text once and none that ``known`` (``hash``, ``embedding``) has.
+
+    ``by``: a column that tells equal texts, by default the text's digest; ``hash`` is of the same kind.
+    """
+    d = df.withColumn("_h", F.md5(F.coalesce(F.col(text), F.lit(""))) if by is None else F.col(by))
+    todo = d.where(F.col(text).isNotNull()).groupBy("_h").agg(F.min(text).alias("_t"))
     if known is not None:
-        todo = todo.join(known.select(F.col("hash").alias("_h")), "_h", "left_anti")
+        known = materialize(known.select(F.col("hash").alias("_h"), "embedding"), "known")
+        todo = todo.join(known.select("_h"), "_h", "left_anti")
     made = embed(todo, "_t", embedder, dimensions, **kw).select("_h", "embedding")
     if known is not None:
-        made = made.unionByName(known.select(F.col("hash").alias("_h"), "embedding"))
-    return d.join(materialize(made, "embedded"), "_h", "left").drop("_h")
+        made = made.unionByName(known)
+    return d.drop("embedding").join(materialize(made, "embedded"), "_h", "left").drop("_h", *([by] if by else []))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafwork.errors import SheafError
-from sheafwork.functions.text import token_estimate
+from sheafwork.functions.filters import Predicate
+from sheafwork.operators.collection import Collection
+from sheafwork.operators.search import MOST_NEIGHBOURS
 
 #: Words too common to search for.
 STOP_WORDS = "the and for are but not you your was were with that this these those from into how what when where which who why can does did has have had its it's our out about".split()
@@ -70,12 +72,14 @@ def context_blocks(sources: DataFrame, by: str, most_tokens: int = MOST_TOKENS,
     entry = F.concat(lf, F.lit("["), F.col("ordinal").cast("string"), F.lit("]"), title, lf, uri, F.lit(INDENT + DIVIDER), lf, body)
     head = HEADING + "\n" + (context_prompt + "\n" if context_prompt else "")
     tail = "\n" + citation_prompt if citation_prompt else ""
-    g = sources.withColumn("_e", entry).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ordinal", "_e"))).alias("_es"))
-    es = F.transform("_es", lambda e: e["_e"])
-    block = lambda n: F.concat(F.lit(head), F.array_join(F.slice(es, F.lit(1), n), ""), F.lit(tail))
-    fits = F.filter(F.sequence(F.lit(1), F.size("_es")), lambda n: token_estimate(block(n)) <= most_tokens)
-    g = g.withColumn("included", F.coalesce(F.array_max(fits), F.lit(0)))
-    return g.select(by, F.when(F.col("included") > 0, block(F.col("included"))).alias("context"), "included")
+    # the block is the head, the best entries and the tail, so its length is a running sum
+    upto = F.sum(F.length("_e")).over(Window.partitionBy(by).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.lit(len(head) + len(tail)) + F.col("_upto")
+    e = sources.select(by, "ordinal", entry.alias("_e")).withColumn("_upto", upto).withColumn("_fits", F.floor((whole + 3) / 4) <= most_tokens)
+    best = F.array_sort(F.collect_list(F.when(F.col("_fits"), F.struct("ordinal", "_e"))))
+    g = e.groupBy(by).agg(best.alias("_es")).withColumn("included", F.size("_es"))
+    block = F.concat(F.lit(head), F.array_join(F.transform("_es", lambda x: x["_e"]), ""), F.lit(tail))
+    return g.select(by, F.when(F.col("included") > 0, block).alias("context"), "included")
 
 
 def require_context(blocks: DataFrame) -> DataFrame:
@@ -83,6 +87,38 @@ def require_context(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("context", F.when(F.col("included") > 0, F.col("context")).otherwise(F.raise_error(F.lit(str(SheafError(7204)))).cast("string")))
 
 
+class Retriever:
+    """Sources for a question from a collection: by both lanes where it has full text, the question has keywords and hybrid search is preferred, else by vectors.
+
+    Each source has its ``score`` and ``score_kind`` (Relevance of the hybrid lane, where more is better; Distance of the vector lane), ``position`` and
+    the record's columns. The threshold is applied with the lane's polarity. Asking for more than ``most`` candidates is an error (7202), and so is
+    ``require_hybrid`` on a collection without full text (7203).
+    """
+
+    def __init__(self, collection: Collection, prefer_hybrid: bool = True, require_hybrid: bool = False, predicate: Predicate | None = None, threshold: float | None = None, most: int = MOST_NEIGHBOURS, text: str | None = None):
+        self.c, self.prefer, self.require, self.predicate, self.threshold, self.most, self.text = collection, prefer_hybrid, require_hybrid, predicate, threshold, most, text
+
+    def retrieve(self, question: list[float] | str, words: list[str] | None = None, top: int = 5, skip: int = 0, threshold: float | None = None, **kw) -> DataFrame:  # noqa: ANN003
+        if top < 1 or skip < 0:
+            raise ValueError("top must be positive and skip not negative")
+        if top + skip > self.most:
+            raise SheafError(7202, f"{top + skip} candidates, {self.most} at most")
+        can = bool(self.c.d.full_text)
+        if self.require and not can:
+            raise SheafError(7203, "no full-text column")
+        words = [w for w in words or [] if w and w.strip()]
+        limit = self.threshold if threshold is None else threshold
+        key = self.c.d.key
+        if can and self.prefer and words:
+            got = self.c.hybrid(question, words, top, skip, self.text, predicate=self.predicate, least_score=limit, **kw).withColumn("score_kind", F.lit("Relevance"))
+            order = Window.orderBy(F.desc("score"), key)  # a page
+        else:
+            got = self.c.search(question, top, skip, predicate=self.predicate, **kw).withColumnRenamed("distance", "score").withColumn("score_kind", F.lit("Distance"))
+            got = got if limit is None else got.where(F.col("score") <= limit)
+            order = Window.orderBy("score", key)  # a page
+        return got.withColumn("position", F.row_number().over(order))
+
+
 def citations(answers: DataFrame, sources: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
     """(``by``, ``ordinal``, ``place``, ``starts``) of each cited source, and (``by``, ``unresolved``) of markers that name none.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafwork.functions.text import chunk_key, instant, strip, usable_digest
+from sheafwork.runtime import materialize, small_enough
 
 DOC = ["collection", "source_id", "document_id"]
 
@@ -43,11 +44,13 @@ def delete(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 def next_keys(stored: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``rows`` with a null ``key`` numbered on from the greatest one stored or given, in ``order``.
 
-    The numbering is a running count in two steps, so it takes no single task for all rows.
+    The numbering is a running count in two steps, so it takes no single task for all rows. The ranges are
+    written before they are counted: made twice, they might be cut elsewhere.
     """
     top = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("_m")).crossJoin(rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("_g"))).select(F.greatest("_m", "_g").alias("_top"))
     given, wanted = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
     ranged = wanted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    ranged = materialize(ranged, "ranged")
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
     made = ranged.join(F.broadcast(before.select("_p", "_b")), "_p").crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_b") + F.col("_i") + 1)
@@ -106,24 +109,45 @@ def prune_missing(state: DataFrame, live: DataFrame, completed: bool, unreadable
     return gone
 
 
+def running_total(rows: DataFrame, by: list[str], order: list[str], value: Column, to: str) -> DataFrame:
+    """``to``: the sum of ``value`` over the rows before in ``order`` within ``by``.
+
+    Rows are ranged by (``by``, ``order``), so that a group with a third of all of them is spread over parts:
+    a sum within each part, and the sums of the parts before it. The parts are written before they are counted.
+    """
+    ranged = rows.withColumn("_v", value).repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
+    inside = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    per = ranged.groupBy(*by, "_p").agg(F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    base = small_enough(per.withColumn("_b", F.coalesce(F.sum("_s").over(before), F.lit(0))).select(*by, "_p", "_b"))
+    r = ranged.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))).alias("r")
+    j = r.join(base.alias("b"), _same(by, "r", "b") & (F.col("r._p") == F.col("b._p")))
+    return j.select(*[F.col(f"r.{c}") for c in rows.columns], (F.col("r._in") + F.col("b._b")).alias(to))
+
+
 def within_budget(items: DataFrame, by: list[str], order: list[str], cost: Column, budget: int | float) -> DataFrame:
     """Items with ``taken``: whether the costs of those before it in its group stay under the budget; the first beyond suspends the run."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return items.withColumn("taken", F.coalesce(F.sum(cost).over(w), F.lit(0)) < budget)
+    return running_total(items, by, order, F.coalesce(cost, F.lit(0)), "_before").withColumn("taken", F.col("_before") < budget).drop("_before")
 
 
 def abort_point(outcomes: DataFrame, by: list[str], order: list[str], most: int = 20) -> DataFrame:
-    """(``by``, ``order``): of each group the item at which ``most`` failures in a row are reached."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    run = F.row_number().over(w) - F.row_number().over(Window.partitionBy(*by, "failed").orderBy(*order))
-    o = outcomes.withColumn("_run", run)
-    n = F.row_number().over(Window.partitionBy(*by, "failed", "_run").orderBy(*order))
-    hit = o.withColumn("_n", n).where(F.col("failed") & (F.col("_n") == most))
+    """(``by``, ``order``): of each group the item at which ``most`` failures in a row are reached.
+
+    A streak is told by the number of successes before it, so two running totals and a grouped maximum do: no group is
+    sorted in one task.
+    """
+    o = running_total(outcomes.select(*by, *order, "failed"), by, order, F.when(F.col("failed"), 0).otherwise(1), "_good")
+    o = running_total(o, by, order, F.lit(1), "_n")
+    # of each streak, the place of its first failure
+    first = o.where("failed").groupBy(*by, "_good").agg(F.min("_n").alias("_first"))
+    o, first = o.where("failed").alias("o"), first.alias("f")
+    hit = o.join(first, _same([*by, "_good"], "o", "f")).where(F.col("o._n") - F.col("f._first") == most - 1).select("o.*")
     return hit.groupBy(*by).agg(F.min(F.struct(*order)).alias("_o")).select(*by, "_o.*")
 
 
 def newest_runs(runs: DataFrame, keep: int) -> DataFrame:
-    """The newest ``keep`` runs of each collection and source; equal starts by id."""
+    """The newest ``keep`` runs of each collection and source; equal starts by id. The limit on the rank is applied in every task before rows move."""
     w = Window.partitionBy("collection", "source_id").orderBy(instant(F.col("started_utc")).desc(), F.desc("run_id"))
     return runs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
 
@@ -138,7 +162,7 @@ def status_report(state: DataFrame, recipes: DataFrame) -> DataFrame:
     """Counts of documents by status, and of those under another than the current recipe, for each source."""
     st = F.lower(strip(F.col("status")))
     one = lambda s: F.count_if(st == s).alias(s)
-    j = state.join(F.broadcast(recipes.select("recipe_hash").distinct().withColumn("_now", F.lit(True))), "recipe_hash", "left")
+    j = state.join(small_enough(recipes.select("recipe_hash").distinct()).withColumn("_now", F.lit(True)), "recipe_hash", "left")
     return j.groupBy("collection", "source_id").agg(
         F.count("*").alias("documents"), one("indexed"), one("failed"), one("unsupported"), one("notextlayer"), F.sum("chunk_count").alias("chunks"), F.count_if(F.col("_now").isNull()).alias("stale")
     )

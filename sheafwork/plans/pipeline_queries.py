@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafwork.errors import SheafError
 from sheafwork.functions.filters import Field
 from sheafwork.functions.text import media_type
 from sheafwork.operators import chunking, embedding, incremental, state
 from sheafwork.operators.collection import Collection, Definition
-from sheafwork.operators.ingest import Pipeline
+from sheafwork.operators.ingest import Budget, Pipeline
 from sheafwork.plans.search_queries import _COS, _L2, _Q
 from sheafwork.plans.tables import table
-from sheafwork.runtime import work_dir
+from sheafwork.runtime import place
 from sheafwork.sources import files
+from sheafwork.sources.extract import Registry
 from sheafwork.sources.versioned import VersionedTable
 from sheafwork.streaming import ingest as streams
 
@@ -34,8 +37,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_place = place
 
 
 def _vectors(spark: SparkSession, d: str) -> Collection:
@@ -74,12 +76,108 @@ def ingest_runs(spark, d):
     return spark.createDataFrame([(i + 1, r.counts["seen"], r.counts["indexed"]) for i, r in enumerate(results)], "run int, seen long, indexed long")
 
 
-@query("SELECT lower(trim(split_part(coalesce(media_type, 'text/plain'), ';', 1))) AS kind, CASE WHEN trim(coalesce(text, ''), chr(10) || chr(13) || chr(9) || ' ') = '' THEN 'NoTextLayer' ELSE 'Indexed' END AS status, count(*) AS n FROM documents WHERE lower(coalesce(media_type, 'text/plain')) IN ('text/plain', 'text/markdown') GROUP BY 1, 2")
-def extract_documents(spark, d):
-    """Texts of a table through the extractors."""
-    t = table(spark, d, "documents").where(F.lower(F.coalesce("media_type", F.lit("text/plain"))).isin("text/plain", "text/markdown"))
-    got = files.extract(files.items(t, "doc_id", "text", "media_type")).select(F.col("document_id").cast("long").alias("doc_id"), "status")
-    return got.join(t.select("doc_id", F.lower(F.coalesce("media_type", F.lit("text/plain"))).alias("kind")), "doc_id").groupBy("kind", "status").agg(F.count("*").alias("n"))
+#: One chunk a text that isn't blank: whole texts fit.
+_WHOLE = chunking.resolve(1 << 30, overlap_tokens=0, min_tokens=16)
+_BLANK = "trim(coalesce(text, ''), chr(10) || chr(13) || chr(9) || ' ') = ''"
+
+
+class _Negated:
+    """Another model: the opposite of the first one's vectors."""
+
+    def __call__(self, texts):
+        return -embedding.hashing_embedder(8)(texts)
+
+
+def _unreadable(data: bytes):
+    raise ValueError("6104: document is malformed")
+
+
+def _registry() -> Registry:
+    r = Registry()
+    r.add("unreadable", {"application/x-unreadable"}, set(), _unreadable)
+    return r
+
+
+@query(
+    f"WITH d AS (SELECT count(*) AS docs, count(*) FILTER (WHERE NOT {_BLANK}) AS chunks FROM documents) SELECT run, docs AS indexed, chunks AS added, CASE run WHEN 2 THEN chunks ELSE 0 END AS reembedded,"
+    " CASE run WHEN 2 THEN 0 ELSE chunks END AS first_model, CASE run WHEN 2 THEN chunks ELSE 0 END AS second_model, CAST(1 AS BIGINT) AS recipes FROM d, (SELECT unnest([1, 2]) AS run)"
+)
+def recipe_drift(spark, d):
+    """Two runs, the second with another model: every chunk is embedded again, and no vector of the first model is left under the second's recipe."""
+    root, items, out = _place(spark, "drift"), _items(spark, d).withColumn("media_type", F.lit("text/plain")), []
+    for run, (model, embedder) in enumerate((("first", embedding.hashing_embedder(8)), ("second", _Negated())), 1):
+        p = Pipeline(spark, root, "kb", _WHOLE, embedder, 8, model=model, chunker="plain")
+        r = p.run(items, "docs")
+        c = p.chunks.read().select("embed_text" if "embed_text" in p.chunks.schema().names else "text", "embedding", "recipe_hash")
+        again = embedding.embed(c.withColumnRenamed("embedding", "stored"), c.columns[0], embedding.hashing_embedder(8), 8)
+        sign = F.when(F.get("stored", F.lit(0)) == F.get("embedding", F.lit(0)), 1).when(F.get("stored", F.lit(0)) == -F.get("embedding", F.lit(0)), 2)
+        x = again.select(sign.alias("m"), "recipe_hash").agg(F.count_if(F.col("m") == 1), F.count_if(F.col("m") == 2), F.count_distinct("recipe_hash")).first()
+        out.append((run, r.counts["indexed"], r.counts["added"], r.counts["reembedded"], x[0], x[1], x[2]))
+    return spark.createDataFrame(out, "run int, indexed long, added long, reembedded long, first_model long, second_model long, recipes long")
+
+
+@query(
+    f"SELECT CASE WHEN doc_id % 10 = 3 THEN 'Failed 6104' WHEN doc_id % 10 = 4 THEN 'Unsupported 6101' WHEN {_BLANK} THEN 'NoTextLayer' ELSE 'Indexed' END AS outcome, count(*) AS n FROM documents GROUP BY 1"
+    " UNION ALL SELECT 'Failed 6054', count(*) FILTER (WHERE doc_id % 10 = 5) FROM documents"
+)
+def ingest_outcomes(spark, d):
+    """A run over documents some of which cannot be read, have no extractor, or come twice: each has its outcome, and the run completes."""
+    i = _items(spark, d).withColumn("no", F.lit(0))
+    n = F.col("document_id").cast("long") % 10
+    i = i.withColumn("media_type", F.when(n == 3, "application/x-unreadable").when(n == 4, "application/x-none").otherwise("text/plain"))
+    i = i.unionByName(i.where(n == 5).withColumn("no", F.lit(1)).withColumn("text", F.concat(F.lit("later "), F.coalesce("text", F.lit("")))))
+    p = Pipeline(spark, _place(spark, "outcomes"), "kb", _WHOLE, embedding.hashing_embedder(8), 8, chunker="plain", registry=_registry())
+    p.run(i, "docs", order=["no"])
+    code = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit(" "), F.substring(c, 1, 4)))
+    st = p.state.read().select(F.concat("status", code("error")).alias("outcome"))
+    twice = p.failures.read().where("error LIKE '6054%'").select(F.lit("Failed 6054").alias("outcome"))
+    return st.unionByName(twice).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, NOT {_BLANK} AS one, row_number() OVER (ORDER BY doc_id) AS n FROM documents), c AS (SELECT *, coalesce(sum(one::INT) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)"
+    " SELECT 'budget:documents' AS reason, least(count(*), 150) AS indexed FROM d UNION ALL SELECT 'budget:chunks', count(*) FILTER (WHERE n > 150 AND before - (SELECT count(*) FROM d WHERE one AND n <= 150) < 20) FROM c"
+    f" UNION ALL SELECT 'budget:none', count(*) - 150 - (SELECT count(*) FILTER (WHERE n > 150 AND before - (SELECT count(*) FROM d WHERE one AND n <= 150) < 20) FROM c) FROM d"
+)
+def ingest_budgets(spark, d):
+    """Three runs, suspended by a budget of documents and one of chunks, and then free: each goes on where the last one stopped."""
+    p = Pipeline(spark, _place(spark, "budgets"), "kb", _WHOLE, embedding.hashing_embedder(8), 8, chunker="plain")
+    i = _items(spark, d).withColumn("media_type", F.lit("text/plain")).withColumn("no", F.col("document_id").cast("long"))
+    out = [p.run(i, "docs", order=["no"], budget=b) for b in (Budget(documents=150), Budget(chunks=20), None)]
+    return spark.createDataFrame([(r.suspend_reason or "budget:none", r.counts["indexed"]) for r in out], "reason string, indexed long")
+
+
+@query(
+    "WITH d AS (SELECT doc_id, doc_id % 50 >= 25 AS bad, row_number() OVER (ORDER BY doc_id) AS n FROM documents), g AS (SELECT *, n - row_number() OVER (PARTITION BY bad ORDER BY n) AS grp FROM d),"
+    " k AS (SELECT *, row_number() OVER (PARTITION BY bad, grp ORDER BY n) AS k FROM g), stop AS (SELECT min(n) AS n FROM k WHERE bad AND k = 20)"
+    " SELECT CASE WHEN bad THEN 'Failed' ELSE 'read' END AS status, count(*) AS n FROM d WHERE n <= (SELECT n FROM stop) GROUP BY 1 UNION ALL SELECT 'run Failed', 1"
+)
+def ingest_abort(spark, d):
+    """Twenty failures in a row end a run; what came before them is written."""
+    p = Pipeline(spark, _place(spark, "abort"), "kb", _WHOLE, embedding.hashing_embedder(8), 8, chunker="plain", registry=_registry())
+    i = _items(spark, d).withColumn("no", F.col("document_id").cast("long"))
+    i = i.withColumn("media_type", F.when(F.col("no") % 50 >= 25, "application/x-unreadable").otherwise("text/plain"))
+    try:
+        p.run(i, "docs", order=["no"])
+    except SheafError as e:
+        if e.code != 6010:
+            raise
+    st = p.state.read().select(F.when(F.col("status") == "Failed", "Failed").otherwise("read").alias("status"))
+    runs = p.runs.read().select(F.concat(F.lit("run "), "outcome").alias("status"))
+    return st.unionByName(runs).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT run, outcome, CAST(n AS INT) AS indexed, CAST(1 AS BIGINT) AS later FROM (SELECT 1 AS run, 'Completed' AS outcome, count(*) AS n FROM nation UNION ALL SELECT 2, 'Completed', 0 FROM region GROUP BY 1)")
+def run_history(spark, d):
+    """Runs at one instant of the clock are recorded each strictly later than the one before."""
+    at = datetime(2025, 1, 1, tzinfo=UTC)
+    p = Pipeline(spark, _place(spark, "history"), "kb", _WHOLE, embedding.hashing_embedder(8), 8, chunker="plain", clock=lambda: at)
+    i = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("document_id"), F.col("n_name").alias("text"), F.lit("text/plain").alias("media_type"))
+    for _ in range(2):
+        p.run(i, "nations")
+    w = Window.partitionBy("collection", "source_id").orderBy("started_utc")
+    r = p.runs.read().withColumn("run", F.row_number().over(w)).withColumn("before", F.lag("started_utc").over(w))
+    return r.select("run", "outcome", F.col("documents_indexed").alias("indexed"), F.coalesce(F.col("started_utc") > F.col("before"), F.lit(True)).cast("long").alias("later"))
 
 
 @query("SELECT lower(trim(split_part(coalesce(media_type, 'text/plain'), ';', 1))) AS kind, CASE WHEN trim(coalesce(text, ''), chr(10) || chr(13) || chr(9) || ' ') = '' THEN 'NoTextLayer' ELSE 'Indexed' END AS status, count(*) AS n FROM documents GROUP BY 1, 2")
@@ -92,14 +190,17 @@ def extract_all_documents(spark, d):
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
-    """Daily counts by a stream with a watermark."""
+    """Daily counts by a stream with a watermark, appended to a folder as windows close; one late event beyond all closes the last ones."""
     events = table(spark, d, "events").select("ts", "event_type")
-    src = _place(spark, "events")
-    events.write.parquet(src)
-    name = f"windows_{uuid.uuid4().hex}"
-    out = streams.windowed_counts(streams.read_stream(spark, src, events.schema), "ts", ["event_type"], "1 day")
-    out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    src, out = _place(spark, "events"), _place(spark, "windows")
+    events.coalesce(1).write.parquet(src)
+    run = lambda: streams.windowed_counts(streams.read_stream(spark, src, events.schema), "ts", ["event_type"], "1 day").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    run()
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts"))
+    for k in (1, 2):  # the second one's batch sees the watermark that the first has moved
+        end.select(F.col("ts") + F.expr(f"INTERVAL {10 * k} DAYS"), F.lit("end").alias("event_type")).toDF("ts", "event_type").coalesce(1).write.mode("append").parquet(src)
+        run()
+    return spark.read.parquet(out).where("event_type <> 'end' OR event_type IS NULL").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")

@@ -303,6 +303,7 @@ class Registry:
 
     def __init__(self) -> None:
         self._all: list[tuple[str, frozenset[str], frozenset[str], Extractor]] = []
+        self._versions: dict[str, int] = {}
         self._built = [
             ("plain-text", frozenset({"text/plain"}), frozenset("txt log csv text".split()), lambda d: plain_text(decode(d))),
             ("markdown", frozenset({"text/markdown"}), frozenset("md markdown".split()), lambda d: markdown(decode(d))),
@@ -310,10 +311,16 @@ class Registry:
             ("pdf", frozenset({"application/pdf"}), frozenset({"pdf"}), pdf),
         ]
 
-    def add(self, name: str, media_types: set[str], extensions: set[str], extractor: Extractor) -> None:
+    def add(self, name: str, media_types: set[str], extensions: set[str], extractor: Extractor, version: int = 1) -> None:
         if any(name == n for n, *_ in self._all):
             raise ValueError(f"an extractor {name!r} is there already")
         self._all.append((name, frozenset(media_types), frozenset(extensions), extractor))
+        self._versions[name] = version
+
+    def fingerprint(self, media_type: str | None, path: str | None) -> str:
+        """The name and version of the extractor that takes a document; 'none' where there is none."""
+        got = self.find(media_type, path)
+        return f"{got[0]}:{self._versions.get(got[0], 1)}" if got else "none"
 
     def find(self, media_type: str | None, path: str | None) -> tuple[str, Extractor] | None:
         kind = (media_type or "").split(";")[0].strip().lower()

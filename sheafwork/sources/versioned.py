@@ -6,10 +6,12 @@ Layout under ``root``::
     dv/<uuid>/part-*.parquet          (file, pos) rows deleted from data files
     _versions/<20 digits>.json        manifest of a version; created once, never changed
 
-A commit writes its data first and then creates the next manifest with
-"create, fail if it exists". A job that dies before that leaves orphan files and no
-version; two writers racing for one number cannot both win. Manifests name files, never
-rows, so a diff of two versions costs the manifests' size and reading only what changed.
+A commit writes its data first and then puts the next manifest in place by a rename that fails if
+it exists. A job that dies before that leaves orphan files and no
+version; two writers racing for one number cannot both win, on file systems whose rename is atomic (HDFS,
+local ones; an object store needs a committer that gives this promise). Manifests name files, never
+rows, so a diff of two versions costs the manifests' size and reading only what changed. A commit that deletes
+rows writes one vector for the files it hits, with all their deleted rows; other files keep theirs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafwork.runtime import materialize, small_enough
+
 FILE, POS, CHANGE = "_file", "_pos", "_change"
+VECTOR = T.StructType([T.StructField(FILE, T.StringType()), T.StructField(POS, T.LongType())])
 
 
 class ConcurrentCommit(RuntimeError):
@@ -64,14 +69,24 @@ def diff(old: Manifest, new: Manifest) -> ManifestDiff:
     )
 
 
-def _read(spark: SparkSession, files: list[str], vectors: set[str], schema: T.StructType, live: bool = True) -> DataFrame:
-    """Rows of ``files``; with deletion vectors, those rows that are (``live``) or aren't in force."""
-    df = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
-    if not vectors:
-        return df if live else df.limit(0)
-    at = df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(POS))
-    gone = spark.read.parquet(*sorted(vectors)).select(FILE, POS).distinct()
-    return at.join(gone, [FILE, POS], "left_anti" if live else "left_semi").drop(FILE, POS)
+def _parquet(spark: SparkSession, files: list[str], schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def _vectors(spark: SparkSession, folders: set[str]) -> DataFrame:
+    return spark.read.schema(VECTOR).parquet(*sorted(folders)) if folders else spark.createDataFrame([], VECTOR)
+
+
+def _read(spark: SparkSession, m: Manifest, files: list[str], schema: T.StructType) -> DataFrame:
+    """The rows of ``files`` in force. Only files with a deletion vector meet the vectors, which are broadcast while they are small."""
+    clean, hit = [f for f in files if not m.files[f]], [f for f in files if m.files[f]]
+    df = _parquet(spark, clean, schema)
+    if not hit:
+        return df
+    at = _parquet(spark, hit, schema).select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(POS))
+    gone = _vectors(spark, {m.files[f] for f in hit}).distinct()
+    live = at.join(small_enough(gone), [FILE, POS], "left_anti").drop(FILE, POS)
+    return df.unionByName(live) if clean else live
 
 
 def changed_rows(spark: SparkSession, old: Manifest, new: Manifest, schema: T.StructType) -> DataFrame:
@@ -79,30 +94,20 @@ def changed_rows(spark: SparkSession, old: Manifest, new: Manifest, schema: T.St
 
     Reads only files that were added or removed and, of files whose deletion vector changed,
     the rows that the change hides or shows. A file in both versions with the same deletion
-    vector is never opened. ``_change`` replaces a column of that name.
+    vector is never opened. However many files have changed, the plan is one read of those added, one of
+    those removed and one of those with another vector. ``_change`` replaces a column of that name.
     """
     d = diff(old, new)
     schema = T.StructType([f for f in schema if f.name != CHANGE])
-
-    def rows(files: list[str], m: Manifest) -> DataFrame:
-        return _read(spark, files, {v for f in files if (v := m.files[f])}, schema)
-
-    parts = [rows(list(d.added), new).withColumn(CHANGE, F.lit("insert"))]
+    out = _read(spark, new, list(d.added), schema).withColumn(CHANGE, F.lit("insert"))
     if d.removed:
-        parts.append(rows(list(d.removed), old).withColumn(CHANGE, F.lit("delete")))
-    for f in d.redeleted:
-        was, now = ({m.files[f]} - {None} for m in (old, new))
-        rows_of = spark.read.schema(schema).parquet(f).select("*", F.col("_metadata.row_index").alias(POS))
-        hidden = lambda vs, f=f: spark.read.parquet(*vs).where(F.col(FILE).isin(_spellings(f))).select(POS).distinct()
-        if now:
-            gone = rows_of.join(hidden(now), POS, "left_semi")
-            parts.append((gone.join(hidden(was), POS, "left_anti") if was else gone).drop(POS).withColumn(CHANGE, F.lit("delete")))
-        if was:
-            back = rows_of.join(hidden(was), POS, "left_semi")
-            parts.append((back.join(hidden(now), POS, "left_anti") if now else back).drop(POS).withColumn(CHANGE, F.lit("insert")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(_read(spark, old, list(d.removed), schema).withColumn(CHANGE, F.lit("delete")))
+    if d.redeleted:
+        was, now = (_vectors(spark, {v for f in d.redeleted if (v := m.files[f])}).distinct() for m in (old, new))
+        hidden = now.join(was, [FILE, POS], "left_anti").withColumn(CHANGE, F.lit("delete"))
+        shown = was.join(now, [FILE, POS], "left_anti").withColumn(CHANGE, F.lit("insert"))
+        rows = _parquet(spark, list(d.redeleted), schema).select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(POS))
+        out = out.unionByName(rows.join(small_enough(hidden.unionByName(shown)), [FILE, POS]).drop(FILE, POS))
     return out
 
 
@@ -145,7 +150,7 @@ class VersionedTable:
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
-        return _read(self.spark, list(m.files), {v for v in m.files.values() if v}, self.schema(version))
+        return _read(self.spark, m, list(m.files), self.schema(version))
 
     def properties(self, version: int | None = None) -> dict[str, str]:
         return {k: v for k, v in self.manifest(version).properties.items() if k != "__schema"}
@@ -161,22 +166,25 @@ class VersionedTable:
         overwrite: bool = False,
         properties: dict[str, str] | None = None,
         expected: int | None = None,
+        base: int | None = None,
+        remove: list[str] | None = None,
     ) -> int:
         """Make the next version and return its number.
 
         ``add``: rows to append. ``delete_keys``: rows whose values in its columns match are
         hidden by deletion vectors (null equals null). ``overwrite``: forget the files so
-        far. ``properties`` are kept in the manifest beside those before them; this is
+        far; ``remove``: forget these. ``properties`` are kept in the manifest beside those before them; this is
         where a consumer saves the source version it has processed, in the same commit as
-        its output. ``expected``: the version this one must follow.
+        its output. ``expected``: the version this one must follow; ``base``: the version whose
+        content it goes on from, the last one by default.
         """
         last = self.version()
         if expected is not None and expected != last:
             raise ConcurrentCommit(f"{self.root} is at version {last}, not {expected}")
-        was = self.manifest(last)
-        files: dict[str, str | None] = {} if overwrite else dict(was.files)
+        was = self.manifest(last if base is None else base)
+        files: dict[str, str | None] = {} if overwrite else {f: v for f, v in was.files.items() if f not in (remove or [])}
         if delete_keys is not None and files:
-            files = self._deleted(files, delete_keys)
+            files = self._deleted(Manifest(was.version, files), delete_keys, self.schema(was.version))
         schema = was.properties.get("__schema")
         if add is not None:
             at = f"{self.root}/data/{uuid.uuid4().hex}"
@@ -189,19 +197,34 @@ class VersionedTable:
         self._create(last + 1, json.dumps(body))
         return last + 1
 
-    def _deleted(self, files: dict[str, str | None], keys: DataFrame) -> dict[str, str | None]:
-        live = self.spark.read.schema(self.schema()).parquet(*files)
+    def compact(self) -> int:
+        """Rewrite the files that have deletion vectors, without the deleted rows, as a new version; nothing to do gives the version there is."""
+        last = self.version()
+        m = self.manifest(last)
+        hit = [f for f, v in m.files.items() if v]
+        if not hit:
+            return last
+        return self.commit(add=_read(self.spark, m, hit, self.schema(last)), remove=hit, expected=last)
+
+    def _deleted(self, was: Manifest, keys: DataFrame, schema: T.StructType) -> dict[str, str | None]:
+        live = self.spark.read.schema(schema).parquet(*was.files)
         at = live.select(*keys.columns, F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(POS)).alias("l")
-        k = keys.distinct().alias("k")
+        k = small_enough(materialize(keys.distinct(), "deleted-keys")).alias("k")
         same = [F.col(f"l.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys.columns]
         hit = at.join(k, on=_all(same), how="left_semi").select(FILE, POS)
-        old = sorted({v for v in files.values() if v})
-        if old:
-            hit = hit.unionByName(self.spark.read.parquet(*old).select(FILE, POS)).distinct()
+        known = _vectors(self.spark, {v for v in was.files.values() if v})
+        hit = materialize(hit.join(known, [FILE, POS], "left_anti"), "deleted-rows")
+        touched = {r[0] for r in hit.select(FILE).distinct().collect()}  # a row per file, as the manifest has
+        touched = {f for f in was.files if touched.intersection(_spellings(f))}
+        if not touched:
+            return was.files
+        before = {v for f in touched if (v := was.files[f])}
+        if before:
+            names = self.spark.createDataFrame([(n,) for f in touched for n in _spellings(f)], f"{FILE} string")
+            hit = hit.unionByName(_vectors(self.spark, before).join(small_enough(names), FILE, "left_semi")).distinct()
         folder = f"{self.root}/dv/{uuid.uuid4().hex}"
         hit.write.parquet(folder)
-        touched = {r[0] for r in self.spark.read.parquet(folder).select(FILE).distinct().toLocalIterator()}  # at most one row a file
-        return {f: folder if touched.intersection(_spellings(f)) else v for f, v in files.items()}
+        return {f: folder if f in touched else v for f, v in was.files.items()}
 
     def _create(self, version: int, body: str) -> None:
         at = self._path("_versions", f"{version:020d}.json")

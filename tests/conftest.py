@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,8 +17,8 @@ def spark():
     s = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='sheafwork-tests-')}")
         .config("spark.sql.codegen.wholeStage", "false")  # small inputs: compiling would take longer than running
-        .config("spark.sql.adaptive.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -142,6 +142,76 @@ def test_withdrawn_rows_compete_no_longer(spark, tmp_path, recipe, by):
     assert st.properties()[I.PROCESSED] == "3"
 
 
+def test_withdrawn_documents_are_retired_not_processed(spark, tmp_path, recipe):
+    src, st = VersionedTable(spark, f"file://{tmp_path}/src"), VersionedTable(spark, f"file://{tmp_path}/state")
+    schema = spark.createDataFrame([], STATE).schema
+    st.commit(add=spark.createDataFrame([], STATE))
+    items = spark.createDataFrame([item(i, f"d{i}", b"A") for i in range(20)], ITEM)
+    src.commit(add=items)
+    work = lambda todo: I.state_rows(todo, schema, "r", "2025-02-01T00:00:00Z")
+    assert I.run(spark, src, st, recipe, lambda todo: work(todo.where("document_id < 'd15'"))) == 7
+    src.commit(delete_keys=items.select("document_id"))
+    assert I.run(spark, src, st, recipe, work) == 0 and st.read().count() == 0
+    src.commit(add=items)
+    assert I.run(spark, src, st, recipe, work) == 20 and I.run(spark, src, st, recipe, work) == 0
+
+
+def test_a_run_opens_only_what_changed(spark, tmp_path, recipe, monkeypatch):
+    src, st = VersionedTable(spark, f"file://{tmp_path}/src"), VersionedTable(spark, f"file://{tmp_path}/state")
+    schema = spark.createDataFrame([], STATE).schema
+    st.commit(add=spark.createDataFrame([], STATE))
+    work = lambda todo: I.state_rows(todo, schema, "r", "2025-02-01T00:00:00Z")
+    for k in range(3):
+        src.commit(add=spark.createDataFrame([item(10 * k + i, f"d{k}{i}", b"A") for i in range(4)], ITEM).coalesce(1))
+    assert I.run(spark, src, st, recipe, work) == 12
+    src.commit(add=spark.createDataFrame([item(90, "d00", b"B", seen=datetime(2025, 3, 1))], ITEM).coalesce(1))
+    opened = changed = I.changed_rows(spark, src.manifest(3), src.manifest(4), src.schema())
+    assert len(opened.inputFiles()) == 1 and changed.count() == 1
+    read = []
+    monkeypatch.setattr(I, "_read", lambda *a: read.append(a))  # an append alone never searches the source
+    assert I.run(spark, src, st, recipe, work) == 1 and not read
+    monkeypatch.undo()
+    # an older delivery that comes late is no change
+    src.commit(add=spark.createDataFrame([item(91, "d00", b"C", seen=datetime(2024, 3, 1))], ITEM).coalesce(1))
+    assert I.run(spark, src, st, recipe, work) == 0
+
+
+def test_each_delete_writes_a_vector_for_the_files_it_hits(spark, tmp_path, rows):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    for k in range(3):
+        t.commit(add=spark.range(10 * k, 10 * k + 5).coalesce(1))
+    for k in range(3):
+        t.commit(delete_keys=spark.range(10 * k, 10 * k + 2))
+    assert [len(diff(t.manifest(v), t.manifest(v + 1)).redeleted) for v in (3, 4, 5)] == [1, 1, 1]
+    assert len(t.changes(5).inputFiles()) == 2  # a data file and its vector
+    t.commit(delete_keys=spark.range(0, 3))  # two of them are deleted already
+    assert rows(t.changes(6)) == [(2, "delete")] and rows(t.changes(4, 6)) == [(10, "delete"), (11, "delete"), (20, "delete"), (21, "delete")]
+    assert rows(t.read()) == [(i,) for i in (3, 4, 12, 13, 14, 22, 23, 24)]
+    before = t.version()
+    t.compact()
+    assert t.compact() == before + 1 and not any(t.manifest().files.values()) and rows(t.read()) == rows(t.read(before))
+    t.commit(delete_keys=spark.range(99, 100))
+    assert not any(t.manifest().files.values())
+
+
+def test_a_dead_run_leaves_deliveries_that_do_not_count(spark, tmp_path, recipe, monkeypatch):
+    src, st = VersionedTable(spark, f"file://{tmp_path}/src"), VersionedTable(spark, f"file://{tmp_path}/state")
+    schema = spark.createDataFrame([], STATE).schema
+    st.commit(add=spark.createDataFrame([], STATE))
+    work = lambda todo: I.state_rows(todo, schema, "r", "2025-02-01T00:00:00Z")
+    src.commit(add=spark.createDataFrame([item(1, "a", b"A")], ITEM))
+    assert I.run(spark, src, st, recipe, work) == 1
+    src.commit(add=spark.createDataFrame([item(2, "b", b"A")], ITEM))
+    commit = st.commit
+    monkeypatch.setattr(st, "commit", lambda **kw: (_ for _ in ()).throw(RuntimeError("died")))
+    with pytest.raises(RuntimeError):
+        I.run(spark, src, st, recipe, work)
+    monkeypatch.setattr(st, "commit", commit)
+    assert I.run(spark, src, st, recipe, work) == 1 and I.run(spark, src, st, recipe, work) == 0
+    kept = VersionedTable(spark, f"{st.root}/deliveries")
+    assert kept.read(int(st.properties()[I.DELIVERIES])).count() == 2
+
+
 def test_a_lost_race_changes_nothing(spark, tmp_path, recipe):
     src, st = VersionedTable(spark, f"file://{tmp_path}/src"), VersionedTable(spark, f"file://{tmp_path}/state")
     schema = spark.createDataFrame([], STATE).schema

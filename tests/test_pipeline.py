@@ -11,7 +11,9 @@ from sheafwork.errors import SheafError
 from sheafwork.functions.filters import Field
 from sheafwork.operators import chat, chunking, embedding, rag, state
 from sheafwork.operators.collection import Collection, Definition, list_collections, query
-from sheafwork.operators.ingest import Pipeline
+from sheafwork.operators.ingest import Budget, Pipeline
+from sheafwork.sources import files
+from sheafwork.sources.extract import Registry
 from sheafwork.sources.versioned import VersionedTable
 from sheafwork.streaming import ingest as streams
 
@@ -72,13 +74,137 @@ def test_changes_are_diffed_and_missing_pruned(spark, pipeline):
     assert len({x["chunk_key"] for x in after}) == len(after) and before
 
 
-def test_budget_suspends_and_the_next_run_goes_on(spark, pipeline):
+def test_budgets_suspend_and_the_next_run_goes_on(spark, pipeline):
+    p, calls = pipeline
+    items = docs(spark, *[(f"d{i}", f"text {i}", "text/plain") for i in range(6)])
+    r = p.run(items, "s", most_documents=2)
+    assert (r.outcome, r.suspend_reason, r.counts["indexed"]) == ("Suspended", "budget:documents", 2)
+    # skipped documents are seen, too
+    r = p.run(items, "s", budget=Budget(documents=3))
+    assert (r.counts["skipped"], r.counts["indexed"]) == (2, 1)
+    r = p.run(items, "s", budget=Budget(chunks=1))
+    assert (r.outcome, r.suspend_reason, r.counts["added"]) == ("Suspended", "budget:chunks", 1)
+    r = p.run(items, "s", budget=Budget(tokens=1))
+    assert (r.outcome, r.suspend_reason, r.counts["indexed"], r.counts["tokens"]) == ("Suspended", "budget:tokens", 1, 2)
+    r = p.run(items, "s", budget=Budget(seconds=0.0))
+    assert (r.outcome, r.suspend_reason, r.counts["indexed"]) == ("Suspended", "budget:duration", 0)
+    last = p.run(items, "s", budget=Budget(seconds=600.0, chunks=99))
+    assert last.outcome == "Completed" and last.counts["indexed"] == 1 and p.chunks.read().count() == 6 and calls.total() == 6
+
+
+class Shifted:
+    """Another model: other vectors for the same texts."""
+
+    def __call__(self, texts):
+        return -embedding.hashing_embedder(8)(texts)
+
+
+def test_another_model_embeds_everything_again(spark, pipeline, tmp_path):
+    p, calls = pipeline
+    items = docs(spark, ("a", "One text.", "text/plain"), ("b", "Other text.", "text/plain"), ("c", "", "text/plain"))
+    p.run(items, "s")
+    old = {r["chunk_key"]: r["embedding"] for r in p.chunks.read().collect()}
+    make = lambda **kw: Pipeline(spark, f"file://{tmp_path}/kb", "kb", chunking.resolve(64, heading_budget=8), Shifted(), 8, model="shifted", **kw)
+    with pytest.raises(SheafError, match="6009"):
+        make(strict_recipe=True).run(items, "s")
+    assert {r["chunk_key"]: r["embedding"] for r in p.chunks.read().collect()} == old
+    q = make()
+    r = q.run(items, "s")
+    assert (r.counts["indexed"], r.counts["added"], r.counts["reembedded"], r.counts["unchanged"]) == (3, 2, 2, 0)
+    new = q.chunks.read().collect()
+    assert {x["chunk_key"] for x in new} == set(old)
+    for x in new:
+        assert x["embedding"] == pytest.approx([-v for v in old[x["chunk_key"]]]) and x["recipe_hash"] == q.state.read().where("document_id = 'a'").first()["recipe_hash"]
+    assert q.run(items, "s").counts["skipped"] == 3
+    # back again: vectors of the first recipe are gone, so they are made anew and not taken from the second
+    n = calls.total()
+    r = p.run(items, "s")
+    assert r.counts["reembedded"] == 2 and calls.total() == n + 2 and {x["chunk_key"]: x["embedding"] for x in p.chunks.read().collect()} == old
+
+
+def test_vectors_are_reused_under_one_recipe_only(spark, pipeline, tmp_path):
+    p, calls = pipeline
+    p.run(docs(spark, ("a", "same words", "text/plain")), "s")
+    assert p.run(docs(spark, ("z", "same words", "text/plain")), "t").counts["added"] == 1 and calls.total() == 1
+    # another extractor is another recipe, and another collection has its own vectors
+    p.run(docs(spark, ("m", "same words", "text/markdown")), "u")
+    assert calls.total() == 2
+    (tmp_path / "more").mkdir()
+    more = Counting(tmp_path / "more")
+    Pipeline(spark, f"file://{tmp_path}/kb", "other", chunking.resolve(64, heading_budget=8), more, 8).run(docs(spark, ("a", "same words", "text/plain")), "s")
+    assert more.total() == 1
+
+
+def broken(data):
+    raise ValueError("cannot read this")
+
+
+def test_a_failed_document_fails_alone(spark, tmp_path):
+    reg = Registry()
+    reg.add("broken", {"application/x-broken"}, set(), broken)
+    o = chunking.resolve(64, heading_budget=8, overflow="throw")
+    make = lambda **kw: Pipeline(spark, f"file://{tmp_path}/kb", "kb", o, embedding.hashing_embedder(8), 8, registry=reg, **kw)
+    p = make()
+    rows = [("a", "fine", "text/plain"), ("b", "x", "application/x-broken"), ("c", "y", "application/x-none"), ("d", "word " * 500, "text/plain"), ("e", None, "text/plain")]
+    r = p.run(docs(spark, *rows), "s")
+    assert (r.counts["indexed"], r.counts["failed"]) == (3, 2)
+    st = {x["document_id"]: (x["status"], (x["error"] or "")[:4]) for x in p.state.read().collect()}
+    assert st == {"a": ("Indexed", ""), "b": ("Failed", "cann"), "c": ("Unsupported", "6101"), "d": ("Failed", "6151"), "e": ("NoTextLayer", "")}
+    # nothing has changed, so nothing is tried again
+    assert p.run(docs(spark, *rows), "s").counts["skipped"] == 5
+    assert p.run(docs(spark, *rows), "s", force=True).counts["failed"] == 2
+    # a document too large is never read, and is no sign of trouble
+    q = make(most_bytes=3, abort_after=1)
+    r = q.run(spark.createDataFrame([("big", "large text", "text/plain"), ("ok", "abc", "text/plain")], "document_id string, text string, media_type string"), "t")
+    assert r.counts["failed"] == 1 and {x["error"][:4] for x in q.state.read().where("document_id = 'big'").collect()} == {"6052"}
+    assert q.run(docs(spark, ("big", "large text", "text/plain"), ("ok", "abc", "text/plain")), "t").counts["skipped"] == 2
+
+
+def test_failures_in_a_row_end_the_run(spark, tmp_path):
+    reg = Registry()
+    reg.add("broken", {"application/x-broken"}, set(), broken)
+    p = Pipeline(spark, f"file://{tmp_path}/kb", "kb", chunking.resolve(64, heading_budget=8), embedding.hashing_embedder(8), 8, registry=reg, abort_after=3)
+    kinds = "bbgbbbbg"  # the third failure in a row is the sixth document
+    rows = [(i, f"d{i}", f"text {i}", "application/x-broken" if k == "b" else "text/plain") for i, k in enumerate(kinds)]
+    items = spark.createDataFrame(rows, "n int, document_id string, text string, media_type string")
+    with pytest.raises(SheafError, match="6010"):
+        p.run(items, "s", order=["n"])
+    assert sorted(r["document_id"] for r in p.state.read().collect()) == [f"d{i}" for i in range(6)]
+    assert p.chunks.read().count() == 1 and [r["outcome"] for r in p.runs.read().collect()] == ["Failed"]
+
+
+def test_runs_are_recorded_in_order(spark, tmp_path):
+    at = datetime.datetime(2025, 1, 1, tzinfo=datetime.UTC)
+    p = Pipeline(spark, f"file://{tmp_path}/kb", "kb", chunking.resolve(64, heading_budget=8), embedding.hashing_embedder(8), 8, clock=lambda: at, keep_runs=2)
+    for _ in range(3):
+        p.run(docs(spark, ("a", "text", "text/plain")), "s")
+    runs = sorted(p.runs.read().collect(), key=lambda r: r["started_utc"])
+    assert [(r["started_utc"][20:26], r["outcome"], r["documents_indexed"]) for r in runs] == [("000001", "Completed", 0), ("000002", "Completed", 0)]
+
+
+def test_filters_and_unreadable_folders_do_not_prune(spark, pipeline):
+    p, _ = pipeline
+    rows = [("x/a", "one", "text/plain"), ("x/b", "two", "text/plain"), ("y/c", "three", "text/plain")]
+    p.run(docs(spark, *rows), "s", only=F.col("document_id") != "y/c")
+    assert p.state.read().count() == 2
+    p.run(docs(spark, *rows), "s")
+    r = p.run(docs(spark, rows[1]), "s", unreadable=["y/"])
+    assert r.counts["removed_documents"] == 1 and {x["document_id"] for x in p.state.read().collect()} == {"x/b", "y/c"} == {x["document_id"] for x in p.chunks.read().collect()}
+
+
+def test_files_and_bytes(spark, pipeline, tmp_path):
     p, _ = pipeline
-    items = docs(spark, *[(f"d{i}", f"text {i}", "text/plain") for i in range(5)])
-    assert p.run(items, "s", most_documents=2).outcome == "Suspended"
-    assert p.run(items, "s", most_documents=2).counts["indexed"] == 2
-    last = p.run(items, "s", most_documents=2)
-    assert last.outcome == "Completed" and last.counts["indexed"] == 1 and p.chunks.read().count() == 5
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("# Head\n\nBody text.")
+    (tmp_path / "in/b.txt").write_bytes("caf\u00e9".encode("latin-1"))
+    (tmp_path / "in/c.bin").write_bytes(b"\0\1")
+    r = p.run(files.folder(spark, f"file://{tmp_path}/in"), "disk")
+    assert (r.counts["seen"], r.counts["indexed"]) == (3, 3)
+    st = {x["document_id"]: x["status"] for x in p.state.read().collect()}
+    assert st == {"a.md": "Indexed", "b.txt": "Indexed", "c.bin": "Unsupported"}
+    got = {x["document_id"]: (x["text"], x["heading_path"]) for x in p.chunks.read().collect()}
+    assert got == {"a.md": ("Body text.", "Head"), "b.txt": ("caf\u00e9", "")}
+    assert p.run(files.folder(spark, f"file://{tmp_path}/in"), "disk").counts["skipped"] == 3
 
 
 def test_another_recipe_does_all_again(spark, pipeline, tmp_path):

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +10,8 @@ from sheafwork.functions import filters, vectors
 from sheafwork.functions.filters import Field
 from sheafwork.functions.porter import stem
 from sheafwork.operators import fulltext, search
+from sheafwork.operators.collection import Collection, Definition
+from sheafwork.operators.rag import Retriever
 
 
 @pytest.fixture
@@ -134,7 +137,10 @@ def test_tokenizers(spark):
     df = spark.createDataFrame([("Crème brûlée-2 ÉTÉ",), (None,)], "t string")
     tok = lambda k: [r[0] for r in df.select(fulltext.tokens(F.col("t"), k)).collect()]
     assert tok("unicode61") == [["creme", "brulee", "2", "ete"], []]
-    assert tok("plain")[0] == ["crème", "brûlée", "2", "été"]
+    none = df.select(fulltext.tokens(F.col("t"), diacritics=0)).first()[0]
+    assert none == ["crème", "brûlée", "2", "été"]
+    viet = spark.createDataFrame([("ộ ơ cafe\u0301",)], "t string")
+    assert [viet.select(fulltext.tokens(F.col("t"), diacritics=k)).first()[0] for k in (0, 1, 2)] == [["ộ", "ơ", "cafe"], ["ộ", "o", "cafe"], ["o", "o", "cafe"]]
     assert tok("ascii")[0] == ["crème", "brûlée", "2", "ÉtÉ"]
     assert tok("trigram")[0][:2] == ["crè", "rèm"] and tok("trigram")[1] == []
     assert [stem(w) for w in ("relational", "hopping", "sky", "été")] == ["relat", "hop", "sky", "été"]
@@ -154,3 +160,78 @@ def test_batch_equals_single(spark, docs, rows):
     for name in ("a", "f"):
         one = search.knn(docs, docs.where(F.col("key") == name).select("embedding"), 3)
         assert [(r["key"]) for r in got.where(F.col("query") == name).orderBy("rank").collect()] == [r["key"] for r in one.collect()]
+
+
+def test_text_index(spark, tmp_path):
+    df = spark.createDataFrame([("a", "alpha beta alpha beta"), ("b", "alpha gamma beta"), ("c", None), ("d", ""), ("e", "the Alphabet, ALPHA beta gamma")], "key string, t string")
+    ix = fulltext.TextIndex(spark, f"file://{tmp_path}/ix")
+    ix.update(df, "t")
+
+    def same(df):
+        for words, every in ((["alpha"], False), (["alpha beta", "gamma"], False), (["alpha", "gamma"], True), (["!!", "beta"], False), (["beta beta"], False), (["alpha alpha beta"], False)):
+            m = lambda x: sorted((r["key"], r["length"], list(r["tf"])) for r in x.collect())
+            assert m(ix.match(words, every)) == m(fulltext.match(df, words, "t", match_all=every)), words
+            b = lambda x: {r["key"]: pytest.approx(r["rank"]) for r in x.collect()}
+            assert b(ix.bm25(words, every)) == b(fulltext.bm25(df, words, "t", match_all=every)), words
+
+    same(df)
+    assert {r["key"]: list(r["tf"]) for r in ix.match(["alph*"]).collect()} == {"a": [2], "b": [1], "e": [2]}
+    assert {r["key"]: list(r["tf"]) for r in ix.match(["alpha be*"]).collect()} == {"a": [2], "e": [1]}
+    ix.update(spark.createDataFrame([("b", "delta"), ("f", "alpha beta")], "key string, t string"), "t")
+    ix.delete(spark.createDataFrame([("a",)], "key string"))
+    same(spark.createDataFrame([("b", "delta"), ("c", None), ("d", ""), ("e", "the Alphabet, ALPHA beta gamma"), ("f", "alpha beta")], "key string, t string"))
+    # a search reads the postings alone, with the terms asked for pushed to the scan
+    plan = ix.match(["alpha"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "alpha" in plan.split("PushedFilters")[1]
+
+
+def test_batches_of_any_number_of_queries(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 6)).astype(np.float32)
+    df = spark.createDataFrame([(f"k{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("none", None), ("zero", [0.0] * 6), ("short", [1.0])], "key string, v array<float>")
+    q = spark.range(5000).select(F.col("id").alias("query"), F.array(*[F.sin(F.col("id") * (k + 1)).cast("double") for k in range(6)]).alias("qvec"))
+    got = search.knn_batch(df, q, 3, "l2", "key", "v")
+    assert got.count() == 15_000 and got.where("query = 4999").count() == 3
+    for i in (1, 77, 4999):
+        want = search.knn(df, [math.sin(i * (k + 1)) for k in range(6)], 3, metric="l2", key="key", vector="v").collect()
+        mine = got.where(F.col("query") == i).orderBy("rank").collect()
+        assert [(r["key"], pytest.approx(r["distance"])) for r in mine] == [(r["key"], r["distance"]) for r in want]
+    assert search.knn_batch(df, q.limit(0), 3, "cosine", "key", "v").count() == 0 and search.knn_batch(df.limit(0), q, 3, "l1", "key", "v").count() == 0
+
+
+class Letters:
+    """Vectors by the first letters, so that prefixes can be told."""
+
+    def __call__(self, texts):
+        return np.array([[float(t[:1] == "q"), float(t[:1] == "d"), float(len(t))] for t in texts])
+
+
+def test_queries_given_as_text(spark, tmp_path):
+    schema = T.StructType.fromDDL("key string, body string, embedding array<float>")
+    d = Definition("key", "embedding", 3, schema, metric="l2", full_text=("body",))
+    c = Collection(spark, f"file://{tmp_path}/c", d, embedder=Letters(), source="body", document_prefix="d: ", query_prefix="q: ")
+    c.create()
+    rows = spark.createDataFrame([("a", "one roof"), ("b", "roof tiles"), ("c", "gutter")], "key string, body string")
+    c.upsert(rows.withColumn("o", F.lit(1)), ["o"])
+    assert {r["key"]: list(r["embedding"]) for r in c.get(["a", "b"], include_vectors=True).collect()} == {"a": [0.0, 1.0, 11.0], "b": [0.0, 1.0, 13.0]}
+    assert [r["key"] for r in c.search("one woof", 2).collect()] == ["a", "b"]
+    with pytest.raises(SheafError, match="7201"):
+        search.knn(rows.withColumn("embedding", F.array(F.lit(1.0))), "text", 2)
+    r = Retriever(c)
+    got = r.retrieve("one woof", ["roof"], top=3).orderBy("position").collect()
+    assert {x["score_kind"] for x in got} == {"Relevance"} and [x["key"] for x in got] == ["a", "b", "c"] and got[0]["score"] > got[2]["score"]
+    got = r.retrieve("one woof", [" "], top=2).orderBy("position").collect()
+    assert [(x["key"], x["score_kind"], x["position"]) for x in got] == [("a", "Distance", 1), ("b", "Distance", 2)] and got[0]["score"] <= got[1]["score"]
+    assert Retriever(c, prefer_hybrid=False).retrieve("one woof", ["roof"], top=1).first()["score_kind"] == "Distance"
+    # one threshold, two polarities
+    assert r.retrieve("one woof", top=3, threshold=got[0]["score"]).count() == 1 and r.retrieve("one woof", ["roof"], top=3, threshold=0.02).count() == 2
+    with pytest.raises(SheafError, match="7202"):
+        Retriever(c, most=4).retrieve("x", top=3, skip=2)
+    bare = Collection(spark, f"file://{tmp_path}/b", Definition("key", "embedding", 3, schema, metric="l2"), embedder=Letters(), source="body")
+    bare.create()
+    with pytest.raises(SheafError, match="7203"):
+        Retriever(bare, require_hybrid=True).retrieve("x")
+    assert Retriever(bare).retrieve("x", ["roof"]).count() == 0
+    c.upsert(rows.where("key = 'a'").select("key", F.lit("slate").alias("body"), F.lit(2).alias("o")), ["o"])
+    c.delete(rows.where("key = 'b'").select("key"))
+    assert c.indexes["body"].match(["roof"]).count() == 0 and [x["key"] for x in c.indexes["body"].match(["slate"]).collect()] == ["a"]
