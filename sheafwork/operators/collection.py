@@ -20,7 +20,7 @@ from sheafwork.operators import search
 from sheafwork.operators.embedding import Embedder, embed_distinct
 from sheafwork.operators.fulltext import TextIndex
 from sheafwork.operators.state import last_wins, next_keys
-from sheafwork.runtime import materialize
+from sheafwork.runtime import materialize, small_enough
 from sheafwork.sources.versioned import VersionedTable
 
 #: Column types of record attributes.
@@ -142,8 +142,13 @@ class Collection:
     def _cols(self, include_vectors: bool) -> list[str]:
         return [c for c in self.d.schema.names if include_vectors or c != self.d.vector]
 
-    def get(self, keys: list, include_vectors: bool = False) -> DataFrame:
-        return self._rows().where(F.col(self.d.key).isin(keys)).select(*self._cols(include_vectors))
+    def get(self, keys: list | DataFrame, include_vectors: bool = False) -> DataFrame:
+        """The records with these keys: a list, whose filter reaches the scan, or any number of them as a DataFrame's only column."""
+        if isinstance(keys, DataFrame):
+            found = self._rows().join(small_enough(keys.toDF(self.d.key).distinct()), self.d.key, "left_semi")
+        else:
+            found = self._rows().where(F.col(self.d.key).isin(keys))
+        return found.select(*self._cols(include_vectors))
 
     def scan(self, predicate: Predicate | None, top: int, skip: int = 0, order: list[tuple[str, bool]] | None = None, include_vectors: bool = False) -> DataFrame:
         """Filtered rows in order (columns and whether ascending; the key breaks ties), a page of them."""

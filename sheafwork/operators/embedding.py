@@ -184,7 +184,7 @@ def embed_distinct(df: DataFrame, text: str, embedder: Embedder, dimensions: int
 
     ``by``: a column that tells equal texts, by default the text's digest; ``hash`` is of the same kind.
     """
-    d = df.withColumn("_h", F.md5(F.coalesce(F.col(text), F.lit(""))) if by is None else F.col(by))
+    d = df.withColumn("_h", F.md5(text) if by is None else F.col(by))  # null for null
     todo = d.where(F.col(text).isNotNull()).groupBy("_h").agg(F.min(text).alias("_t"))
     if known is not None:
         known = materialize(known.select(F.col("hash").alias("_h"), "embedding"), "known")

@@ -110,9 +110,8 @@ class Pipeline:
         """Replace the run's row by the finished one, and forget all but the newest ``keep_runs`` of each source."""
         end = self.clock().astimezone(UTC).isoformat(timespec="microseconds")
         row = (run_id, self.collection, source_id, self.recipe, started, end, outcome, reason, counts.get("indexed", 0), counts.get("added", 0), counts.get("removed", 0), error)
-        all_ = self.runs.read().select("run_id", "collection", "source_id", "started_utc")
-        old = all_.join(state.newest_runs(all_, self.keep_runs).select("run_id"), "run_id", "left_anti").select("run_id")
-        self.runs.commit(add=self.spark.createDataFrame([row], RUNS), delete_keys=old.unionByName(self.spark.createDataFrame([(run_id,)], "run_id string")))
+        rows = self.runs.read().where(F.col("run_id") != run_id).unionByName(self.spark.createDataFrame([row], RUNS))
+        self.runs.commit(add=state.newest_runs(rows, self.keep_runs), overwrite=True)  # at most ``keep_runs`` rows a source
 
     # -- what is to be done
 
@@ -204,8 +203,8 @@ class Pipeline:
             said = F.concat(F.lit("6054: document id '"), F.coalesce("document_id", F.lit("")), F.lit("' was delivered more than once in a run"))
             self.failures.commit(add=later.select(*DOC, "content_hash", said.alias("error"), F.lit(run_id).alias("run_id")))
         todo = seen.where("gate IS NULL")
-        waves = [todo]
-        if budget.seconds is not None:
+        waves = [] if todo.isEmpty() else [todo]
+        if waves and budget.seconds is not None:
             numbered = materialize(state.running_total(todo, ["source_id"], ["_at"], F.lit(1), "_no"), "waves")
             waves = [numbered.where((F.col("_no") >= k) & (F.col("_no") < k + WAVE)).drop("_no") for k in range(0, max(1, numbered.count()), WAVE)]
         for wave in waves:
@@ -241,7 +240,7 @@ class Pipeline:
         stored = self.chunks.read(at_chunks)
         # a failed document keeps the chunks it has, and so does one that no extractor takes any more while its bytes are the same
         settled = docs.where("status <> 'Failed' AND NOT (status = 'Unsupported' AND coalesce(again, false))")
-        mine = stored.join(small_enough(materialize(settled.select(*DOC), "settled")), DOC, "left_semi")
+        mine = stored.join(small_enough(settled.select(*DOC)), DOC, "left_semi")
         where = ["ordinal", "char_start", "char_end"]
         change = state.diff(fresh.select(*DOC, "chunk_key", *where), mine.select(*DOC, "chunk_key", *where), [*DOC, "chunk_key"], where)
         # under another recipe every chunk is new, for its vector depends on that, too
@@ -267,14 +266,15 @@ class Pipeline:
                     if not inside.where("NOT taken").isEmpty():
                         ended = ("Suspended", f"budget:{what}", None)
                     docs = inside.where("taken").drop("taken")
-        docs = materialize(docs.drop("_chunks", "_tokens"), "docs")
+        if ended or budget.chunks is not None or budget.tokens is not None:
+            docs = materialize(docs.drop("_chunks", "_tokens"), "docs")
         if ended:
             keep = small_enough(docs.select(*DOC))
             fresh, change = fresh.join(keep, DOC, "left_semi"), change.join(keep, DOC, "left_semi")
         write = fresh.join(change.where(F.col("change").isin("added", "repaired")).select(*DOC, "chunk_key", "change"), [*DOC, "chunk_key"])
         write = materialize(write, "write")
         # vectors are taken over from stored chunks with the same text under the same recipe, in this collection alone
-        wanted = materialize(write.select("text_hash", "recipe_hash").distinct(), "wanted")
+        wanted = write.select("text_hash", "recipe_hash").distinct()
         known = stored.where((F.col("collection") == self.collection) & F.col("embedding").isNotNull()).select("text_hash", "recipe_hash", "chunk_key", "embedding")
         known = known.join(small_enough(wanted), ["text_hash", "recipe_hash"], "left_semi").groupBy("text_hash", "recipe_hash").agg(F.min_by("embedding", "chunk_key").alias("embedding"))
         # a text is one vector whatever the extractor, so the digest that is known by holds the recipe

@@ -62,6 +62,14 @@ def collection_scan(spark, d):
     return _vectors(spark, d).scan(None, 40, 10, [("label", False)])
 
 
+@query("SELECT 'table' AS by, vec_id, CAST(CASE WHEN vec_id % 5 = 0 THEN 99 ELSE label END AS INT) AS label FROM embeddings WHERE vec_id % 7 <> 3 AND vec_id IN (SELECT 3 * vec_id FROM embeddings) UNION ALL SELECT 'list', vec_id, CAST(CASE WHEN vec_id % 5 = 0 THEN 99 ELSE label END AS INT) FROM embeddings WHERE vec_id % 7 <> 3 AND vec_id IN (1, 2, 3, 5, 10)")
+def collection_get(spark, d):
+    """Records by key, asked for by a table of keys and by a list that names one deleted and one unknown key, too."""
+    c = _vectors(spark, d)
+    keys = table(spark, d, "embeddings").select((F.col("vec_id") * 3).alias("k"))
+    return c.get(keys).withColumn("by", F.lit("table")).unionByName(c.get([1, 2, 3, 5, 10, -1]).withColumn("by", F.lit("list")))
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text", "media_type")
 

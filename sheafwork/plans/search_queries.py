@@ -191,12 +191,6 @@ def get_by_keys(spark, d):
     return table(spark, d, "part").join(keys, "p_partkey", "left_semi").select("p_partkey", "p_name", "p_size")
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS INT) AS tokens, CAST(len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))) AS INT) AS terms FROM documents")
-def fts_tokens(spark, d):
-    t = table(spark, d, "documents").select("doc_id", fulltext.tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("terms"))
-
-
 @query("SELECT doc_id, CAST(greatest(length(lower(title)) - 2, 0) AS INT) AS grams FROM documents WHERE title IS NOT NULL")
 def fts_trigrams(spark, d):
     t = table(spark, d, "documents").where("title IS NOT NULL")
@@ -225,6 +219,12 @@ _T = f"t AS (SELECT doc_id, {_plain_words('text')} AS w FROM documents)"
 _C = "len(list_filter(w, lambda x: x = '{}'))"
 
 
+@query(f"WITH {_T} SELECT doc_id, CAST(len(w) AS INT) AS tokens, CAST(len(list_distinct(w)) AS INT) AS terms FROM t")
+def fts_tokens(spark, d):
+    t = table(spark, d, "documents").select("doc_id", fulltext.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("terms"))
+
+
 @query(f"WITH {_T} SELECT doc_id, CAST(len(w) AS INT) AS length, CAST({_C.format('pump')} AS INT) AS pump, CAST({_C.format('filter')} AS INT) AS filter FROM t WHERE {_C.format('pump')} > 0 OR {_C.format('filter')} > 0")
 def fts_match_or(spark, d):
     m = _index(spark, d).match(["pump", "Filter"])

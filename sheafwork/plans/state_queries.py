@@ -169,12 +169,14 @@ def percentiles(spark, d):
 
 
 @query(
-    f"WITH {_FORCE}, i AS (SELECT DISTINCT collection, content_hash, recipe_hash, source_id || '/' || document_id AS doc FROM st WHERE lower(trim(status)) = 'indexed' AND replace(hex(content_hash), '0', '') <> ''),"
+    f"WITH {_FORCE}, i AS (SELECT DISTINCT collection, substr(hex(content_hash), 1, 2) AS content_hash, recipe_hash, source_id || '/' || document_id AS doc FROM st WHERE lower(trim(status)) = 'indexed' AND substr(hex(content_hash), 1, 2) <> '00'),"
     " j AS (SELECT a.collection, a.doc, b.doc AS donor FROM i a JOIN i b ON a.collection = b.collection AND a.content_hash = b.content_hash AND a.recipe_hash = b.recipe_hash AND a.doc <> b.doc)"
     " SELECT collection, doc, least(count(*), 4) AS donors FROM j GROUP BY 1, 2"
 )
 def vector_reuse(spark, d):
-    s = state.donors(incremental.state_in_force(table(spark, d, "ingest_document")))
+    """Donors by the digest's first byte: whole digests never meet here."""
+    st = incremental.state_in_force(table(spark, d, "ingest_document"))
+    s = state.donors(st.withColumn("content_hash", F.unhex(F.substring(F.hex("content_hash"), 1, 2))))
     return s.groupBy("document").agg(F.count("*").alias("donors")).select("document.collection", F.concat("document.source_id", F.lit("/"), "document.document_id").alias("doc"), "donors")
 
 
@@ -187,8 +189,8 @@ def table_counts(spark, d):
     return out
 
 
-@query("SELECT c.collection, count(*) AS chunks FROM ingested_chunk c WHERE NOT EXISTS (SELECT 1 FROM ingest_document s WHERE s.collection = c.collection AND s.source_id = c.source_id AND s.document_id = c.document_id) GROUP BY 1")
+@query("SELECT c.collection, count(*) AS chunks FROM ingested_chunk c WHERE NOT EXISTS (SELECT 1 FROM source_item s WHERE s.collection = c.collection AND s.source_id = c.source_id AND s.document_id = c.document_id) GROUP BY 1")
 def orphan_chunks(spark, d):
-    """Chunks of documents that the state doesn't know."""
+    """Chunks of documents that the sources deliver no more."""
     c = table(spark, d, "ingested_chunk").select(*state.DOC)
-    return c.join(table(spark, d, "ingest_document").select(*state.DOC).distinct(), state.DOC, "left_anti").groupBy("collection").agg(F.count("*").alias("chunks"))
+    return c.join(table(spark, d, "source_item").select(*state.DOC).distinct(), state.DOC, "left_anti").groupBy("collection").agg(F.count("*").alias("chunks"))

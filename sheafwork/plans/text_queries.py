@@ -71,11 +71,31 @@ def token_estimates(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
+#: White space in DuckDB's regular expressions.
+_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def _chunks(spark: SparkSession, d: str, chunker: str, kind: str) -> DataFrame:
     t = table(spark, d, "documents").withColumn("media_type", F.lit(kind))
     return chunking.chunk_documents(t, "doc_id", "text", "media_type", chunking.resolve(256), chunker)
 
 
+@query(
+    rf"SELECT chunker, doc_id, CAST(length(regexp_replace(nfc_normalize(regexp_replace(text, '^\x{{FEFF}}', '')), '[{_SPACE}]', '', 'g')) AS BIGINT) AS chars, 0 AS over FROM documents, (SELECT unnest(['plain', 'token-window']) AS chunker) WHERE regexp_replace(text, '[{_SPACE}]', '', 'g') <> ''"
+)
+def chunk_cover(spark, d):
+    """Without overlap the chunks of a text hold all its characters but white space once, within the budget."""
+    o = chunking.resolve(256, overlap_tokens=0)
+    t = table(spark, d, "documents").withColumn("media_type", F.lit("text/plain"))
+    out = None
+    for chunker in ("plain", "token-window"):
+        c = chunking.chunk_documents(t, "doc_id", "text", "media_type", o, chunker)
+        bare = F.length(F.regexp_replace("text", f"[{tx.WHITE_SPACE}]", ""))
+        one = c.groupBy("doc_id").agg(F.sum(bare).alias("chars"), F.count_if(F.col("token_count") > o.max_tokens).alias("over")).withColumn("chunker", F.lit(chunker))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def chunk_plain(spark, d):
     return _chunks(spark, d, "plain", "text/plain")
@@ -107,11 +127,12 @@ def pool_mean_l2(spark, d):
     return p.select("label", F.posexplode("pooled").alias("i", "x")).select("label", (F.col("i") + 1).cast("long").alias("i"), (F.round("x", 6) + F.lit(0.0)).alias("x"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN text IS NOT NULL THEN 32 END AS dims, min(doc_id) OVER (PARTITION BY text) AS first FROM documents")
 def embed_distinct(spark, d):
+    """The size of every text's vector, and the first document with the same one."""
     t = table(spark, d, "documents").select("doc_id", "text")
     e = embedding.embed_distinct(t, "text", embedding.hashing_embedder(32), 32)
-    return e.select("doc_id", F.size("embedding").alias("dims"), F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
+    return e.select("doc_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"), F.min("doc_id").over(Window.partitionBy("embedding")).alias("first"))
 
 
 # Retrieval-augmented answers. Queries are the titles of documents; their sources the document's chunks.
@@ -191,7 +212,16 @@ def extractive_answer(spark, d):
     return rag.extractive_answer(_sources(spark, d, 600), "query_id", most_chars=600)
 
 
-@query()
+_MARK = r"'\[\d+\]'"
+
+
+@query(
+    f"WITH {_SRC.format(600)}, a AS (SELECT query_id, string_agg(text || ' [' || ordinal || ']', chr(10) || chr(10) ORDER BY ordinal) AS answer FROM r WHERE ordinal <= 3 GROUP BY query_id),"
+    f" m AS (SELECT query_id, regexp_extract_all(answer, {_MARK}) AS ms, string_split_regex(answer, {_MARK}) AS gs FROM a), u AS (SELECT query_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM m),"
+    " z AS (SELECT query_id, TRY_CAST(regexp_extract(ms[i], '\\d+') AS INT) AS ordinal, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS INT) AS start FROM u),"
+    " c AS (SELECT query_id, ordinal, list(start ORDER BY start) AS st FROM z WHERE EXISTS (SELECT 1 FROM r WHERE r.query_id = z.query_id AND r.ordinal = z.ordinal) GROUP BY 1, 2)"
+    " SELECT query_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY st[1]) AS place, array_to_string(st, ',') AS starts FROM c"
+)
 def rag_citations(spark, d):
     """Cited sources of the extractive answers, with the offsets of their markers."""
     s = _sources(spark, d, 600)
