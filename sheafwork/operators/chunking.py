@@ -100,6 +100,15 @@ def resolve(sequence: int, overhead: int = 2, prefix: int = 0, heading_budget: i
     return Options(most, over, least, heading_budget, **kw)
 
 
+def resolve_for(model: str, **kw) -> Options:  # noqa: ANN003
+    """The same for a model of ``embedding.PRESETS``, whose sequence length bounds a chunk."""
+    from sheafwork.operators.embedding import PRESETS
+
+    if model not in PRESETS:
+        raise SheafError(6003, f"unknown model {model}")
+    return resolve(PRESETS[model][1], **kw)
+
+
 @dataclass(frozen=True)
 class Chunk:
     """A piece of a text; ``embed_text`` is the breadcrumb, a blank line and the text."""

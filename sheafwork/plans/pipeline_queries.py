@@ -18,7 +18,7 @@ from sheafwork.operators.ingest import Budget, Pipeline
 from sheafwork.plans.search_queries import _COS, _L2, _Q
 from sheafwork.plans.tables import table
 from sheafwork.runtime import place
-from sheafwork.sources import files
+from sheafwork.sources import adapters, files
 from sheafwork.sources.extract import Registry
 from sheafwork.sources.versioned import VersionedTable
 from sheafwork.streaming import ingest as streams
@@ -222,6 +222,14 @@ def stream_append(spark, d):
     return t.read().groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, true AS same FROM documents")
+def element_roundtrip(spark, d):
+    """Extracted documents taken apart into elements and put together again are the same."""
+    got = files.extract(files.items(table(spark, d, "documents"), "doc_id", "text", "media_type")).select("document_id", "text", "blocks")
+    back = adapters.from_elements(adapters.elements(got.withColumnsRenamed({"text": "t", "blocks": "b"}).withColumns({"text": F.col("t"), "blocks": F.col("b")})))
+    return back.select("document_id", (F.col("text").eqNullSafe(F.col("t")) & F.col("blocks").eqNullSafe(F.col("b"))).alias("same"))
+
+
 @query("SELECT 1 AS since, o_orderstatus AS status, count(*) FILTER (WHERE o_orderkey % 4 = 1) AS inserted, count(*) FILTER (WHERE o_orderkey % 4 = 0 AND o_custkey % 2 = 0) AS deleted FROM orders GROUP BY 2")
 def table_changes(spark, d):
     """Record deltas between versions of a table, which together hold every order: an append and a delete by keys."""

@@ -193,3 +193,19 @@ def test_queries_use_every_row(spark, monkeypatch):
     commit = VersionedTable.commit
     monkeypatch.setattr(VersionedTable, "commit", lambda self, **kw: (added.append(kw["add"].count()) if "add" in kw else None, commit(self, **kw))[1])
     assert [tuple(r) for r in P.table_changes(spark, "").collect()] == [(1, "O", 10, 10)] and added == [30, 10]
+
+
+def test_elements_and_back(spark):
+    from sheafwork.sources import adapters, files
+
+    rows = [("a", "# H\n\nOne para.\n\n- x\n- y\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\nend ", "text/markdown"), ("b", "One.\n \n\nTwo.", "text/plain"), ("c", None, None), ("d", "", "text/plain")]
+    got = files.extract(files.items(spark.createDataFrame(rows, "id string, text string, kind string"), "id", "text", "kind"))
+    back = adapters.from_elements(adapters.elements(got))
+    key = lambda df: {r["document_id"]: (r["text"], r["blocks"], r["status"]) for r in df.select(*got.columns).collect()}
+    assert key(back) == key(got)
+    kinds = {r["document_id"]: [e["kind"] for e in r["elements"] if e["kind"] != "Gap"] for r in adapters.elements(got).collect() if r["elements"]}
+    assert kinds["b"] == ["Paragraph", "Paragraph"] and kinds["a"][0] == "Heading"
+    # elements of another model, which has no gaps
+    text, blocks = adapters.together([{"kind": "Heading", "text": "H", "level": 1, "page": None}, {"kind": "Paragraph", "text": "p", "level": None, "page": 2}])
+    assert text == "H\n\np" and [(b["start"], b["end"], b["level"], b["page"]) for b in blocks] == [(0, 1, 1, -1), (3, 4, 0, 2)]
+    assert adapters.from_elements(adapters.elements(got.limit(0))).count() == 0
