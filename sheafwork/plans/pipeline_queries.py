@@ -144,14 +144,14 @@ def ingest_outcomes(spark, d):
 
 @query(
     f"WITH d AS (SELECT doc_id, NOT {_BLANK} AS one, row_number() OVER (ORDER BY doc_id) AS n FROM documents), c AS (SELECT *, coalesce(sum(one::INT) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)"
-    " SELECT 'budget:documents' AS reason, least(count(*), 150) AS indexed FROM d UNION ALL SELECT 'budget:chunks', count(*) FILTER (WHERE n > 150 AND before - (SELECT count(*) FROM d WHERE one AND n <= 150) < 20) FROM c"
-    f" UNION ALL SELECT 'budget:none', count(*) - 150 - (SELECT count(*) FILTER (WHERE n > 150 AND before - (SELECT count(*) FROM d WHERE one AND n <= 150) < 20) FROM c) FROM d"
+    " SELECT 'budget:documents' AS reason, least(count(*), 15) AS indexed FROM d UNION ALL SELECT 'budget:chunks', count(*) FILTER (WHERE n > 15 AND before - (SELECT count(*) FROM d WHERE one AND n <= 15) < 20) FROM c"
+    f" UNION ALL SELECT 'budget:none', count(*) - 15 - (SELECT count(*) FILTER (WHERE n > 15 AND before - (SELECT count(*) FROM d WHERE one AND n <= 15) < 20) FROM c) FROM d"
 )
 def ingest_budgets(spark, d):
     """Three runs, suspended by a budget of documents and one of chunks, and then free: each goes on where the last one stopped."""
     p = Pipeline(spark, _place(spark, "budgets"), "kb", _WHOLE, embedding.hashing_embedder(8), 8, chunker="plain")
     i = _items(spark, d).withColumn("media_type", F.lit("text/plain")).withColumn("no", F.col("document_id").cast("long"))
-    out = [p.run(i, "docs", order=["no"], budget=b) for b in (Budget(documents=150), Budget(chunks=20), None)]
+    out = [p.run(i, "docs", order=["no"], budget=b) for b in (Budget(documents=15), Budget(chunks=20), None)]
     return spark.createDataFrame([(r.suspend_reason or "budget:none", r.counts["indexed"]) for r in out], "reason string, indexed long")
 
 
